@@ -250,9 +250,32 @@ def mask_entities(c: Column) -> Column:
     return to_column(x, MASK_STEPS_TAIL)
 
 
+_BOILER_PASS = [rx(BOILERPLATE_RE, " "), *collapse()]
+_PREFIX_PASS = [rx(PREFIX_RE, ""), strip()]
+
+
+def _fixpoint(c: Column, one_pass, max_passes: int) -> Column:
+    """Apply ``one_pass`` until the text stops changing, at most ``max_passes`` times.
+
+    The accumulator carries (previous, current); once they are equal the
+    remaining iterations return it untouched, so a text without boilerplate
+    costs one pass instead of ``max_passes``.
+    """
+    init = F.struct(F.lit(None).cast("string").alias("prev"), c.alias("cur"))
+
+    def step(acc, _i):
+        done = acc["prev"].isNotNull() & (acc["prev"] == acc["cur"])
+        nxt = F.struct(acc["cur"].alias("prev"), to_column(acc["cur"], one_pass).alias("cur"))
+        return F.when(done, acc).otherwise(nxt)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max_passes)), init, step)["cur"]
+
+
 def strip_boilerplate(c: Column) -> Column:
-    """null -> ''."""
-    return to_column(_null_to(c, ""), BOILER_STEPS)
+    """null -> ''; boilerplate to a fixpoint (<= 6), then leading prepositions (<= 4)."""
+    x = _fixpoint(_null_to(c, ""), _BOILER_PASS, fixed.BOILERPLATE_PASSES)
+    x = _fixpoint(x, _PREFIX_PASS, fixed.PREPOSITION_PASSES)
+    return to_column(x, collapse())
 
 
 def tokens_count(c: Column) -> Column:
