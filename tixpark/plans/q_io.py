@@ -1 +1,80 @@
-"""Registered queries."""
+"""Registered queries: scan/write round trips and the file stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources import bindings as b
+from ..sources import csvio
+from ..streaming import stream
+from .catalog import register
+
+W = b.ORACLE_WITH
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+@register("scan_tickets", W + """
+SELECT number, CASE WHEN u_subcategory IN ('', 'NA', 'N/A', 'NULL', 'null', 'None', 'nan', 'NaN', 'n/a', '#N/A') THEN NULL ELSE u_subcategory END AS u_subcategory,
+       category, regexp_replace(description, '\\r\\n|\\r|\\n', ' ', 'g') AS description FROM tickets
+""")
+def q_scan_tickets(spark, sf):
+    t = b.tickets(spark, sf).select("number", "u_subcategory", "category", "description")
+    path = _scratch(spark, "export")
+    csvio.write_delimited(t, path, sep=";", encoding="ISO-8859-1")
+    df = csvio.scan_tickets(spark, path, sep=";")
+    return csvio.repair_quoted_newlines(df)
+
+
+@register("change_separator", W + "SELECT number, category, contact_type FROM tickets")
+def q_change_separator(spark, sf):
+    t = b.tickets(spark, sf).select("number", "category", "contact_type")
+    a = _scratch(spark, "comma")
+    csvio.write_delimited(t, a, sep=",")
+    df = csvio.scan_tickets(spark, a, sep=",")
+    bpath = _scratch(spark, "semicolon")
+    csvio.write_delimited(df, bpath, sep=";")
+    return csvio.scan_tickets(spark, bpath)
+
+
+@register("append_aligned", W + """
+SELECT number, coalesce(short_description, '') AS short_description, coalesce(clasificacion, '') AS "Categoría",
+       CAST(sys_created_on AS VARCHAR) AS fecha_asignacion, '' AS "Origen" FROM tickets
+""")
+def q_append_aligned(spark, sf):
+    t = b.tickets(spark, sf).select("number", "short_description", F.col("clasificacion").alias("Clasificación"),
+                                    F.date_format("sys_created_on", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("opened_at"))
+    return csvio.append_aligned(["number", "short_description", "Categoría", "fecha_asignacion", "Origen"],
+                                t.withColumn("Clasificación", F.coalesce("Clasificación", F.lit(""))))
+
+
+@register("read_json_config", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
+def q_read_json_config(spark, sf):
+    e = b.read_table(spark, sf, "events")
+    return e.select("event_id", csvio.config_lookup(F.col("props"), "k"))\
+            .toDF("event_id", "k")
+
+
+@register("archive_runs_by_date", W + "SELECT number, assigned_to, state FROM history")
+def q_archive_runs(spark, sf):
+    h = b.history(spark, sf).select("number", "assigned_to", "state")
+    path = _scratch(spark, "history")
+    csvio.append_history(h.limit(0), path, ["number", "assigned_to", "state"], "2024-01-01_00-00-00")
+    csvio.append_history(h, path, ["number", "assigned_to", "state"], "2024-01-02_08-30-00")
+    return csvio.latest_run(spark.read.parquet(path)).select("number", "assigned_to", "state")
+
+
+@register("stream_tickets", W + "SELECT number, category, u_subcategory FROM tickets")
+def q_stream_tickets(spark, sf):
+    t = b.tickets(spark, sf).select("number", "category", "u_subcategory")
+    src = _scratch(spark, "inbox")
+    out = _scratch(spark, "stream-out")
+    ckpt = _scratch(spark, "stream-ckpt")
+    stream.drop_files(t, src, parts=4)
+    stream.run_available(spark, src, t.schema, out, ckpt)
+    return spark.read.parquet(out).select("number", "category", "u_subcategory")

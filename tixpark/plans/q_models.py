@@ -1 +1,99 @@
-"""Registered queries."""
+"""Registered queries: model training, comparison and relabelling.
+
+Model outputs depend on optimiser details, so these carry rows-only checks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import evaluate as ev
+from ..operators import features as fe
+from ..operators import models as md
+from .catalog import register
+from .q_features import clean_docs, split
+
+
+def _features(spark, sf):
+    """Fit the 5,000-term vocabulary on labelled rows; vectors for all rows."""
+    c = clean_docs(spark, sf)
+    lab = c.filter(F.col("clase") != fixed.UNCLASSIFIED)
+    vocab = fe.fit_vocabulary(fe.explode_terms(fe.terms_frame(lab, "number", "ctext")),
+                              lab.select(F.count(F.lit(1))).scalar(), 1, 5000)
+    size = max(vocab.count(), 1)
+    w = fe.transform_tfidf(fe.explode_terms(fe.terms_frame(c, "number", "ctext")), vocab)
+    vec = fe.to_sparse_vectors(w, size, "doc", "features").withColumnRenamed("doc", "number")
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    empty = F.udf(lambda: SparseVector(size, [], []), VectorUDT())
+    x = c.select("number", "clase").join(vec, "number", "left")
+    return x.withColumn("features", F.coalesce(F.col("features"), empty()))
+
+
+def _train_test(spark, sf):
+    feats = _features(spark, sf)
+    s = split(spark, sf).select("number", "part")
+    lab = ev.label_encode(feats.join(s, "number"), "clase")
+    labels = [r[0] for r in lab.select("clase").distinct().orderBy("clase").collect()]
+    return lab, labels
+
+
+def _fit_predict(spark, sf, which: str):
+    lab, labels = _train_test(spark, sf)
+    tr = lab.filter("part = 'train'").cache()
+    n = tr.count()
+    w = ev.class_weights_balanced(tr, "clase").select("clase", "weight")
+    tr = tr.join(w, "clase")
+    if which == "lr":
+        model = md.logistic_regression(n, 1.0, 3000).fit(tr)
+    elif which == "rf":
+        model = md.random_forest().fit(tr)
+    else:
+        model = md.svm_ovr_balanced(n).fit(tr)
+    te = lab.filter("part = 'test'")
+    return md.predict_with_confidence(model, te, labels, model_name=which), model, labels, lab
+
+
+@register("logistic_regression")
+def q_logistic_regression(spark, sf):
+    p, *_ = _fit_predict(spark, sf, "lr")
+    return p.select("number", F.col("clase").alias("y"), "pred", "Confianza", "Requiere_revision")
+
+
+@register("random_forest")
+def q_random_forest(spark, sf):
+    p, *_ = _fit_predict(spark, sf, "rf")
+    return p.select("number", F.col("clase").alias("y"), "pred", "Confianza", "Requiere_revision")
+
+
+@register("svm_ovr_balanced")
+def q_svm_ovr(spark, sf):
+    p, *_ = _fit_predict(spark, sf, "svm")
+    return p.select("number", F.col("clase").alias("y"), "pred", "Confianza", "Requiere_revision")
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    rows = None
+    for name in ("lr", "rf", "svm"):
+        p, *_ = _fit_predict(spark, sf, name)
+        m = ev.classification_metrics(ev.confusion_counts(p.select(F.col("clase").alias("y"), "pred"))).withColumn("model", F.lit(name))
+        rows = m if rows is None else rows.unionByName(m)
+    return rows
+
+
+@register("relabel_unclassified")
+def q_relabel(spark, sf):
+    _, model, labels, lab = _fit_predict(spark, sf, "lr")
+    feats = _features(spark, sf).filter(F.col("clase") == fixed.UNCLASSIFIED)
+    r = md.predict_with_confidence(model, feats, labels, fixed.PROBA_REVIEW_THRESHOLD, "Logistic Regression")
+    return r.select("number", F.col("pred").alias("Clasificación_predicha"), "Confianza", "Requiere_revision", "Modelo_usado")
+
+
+@register("l2_normalize")
+def q_l2_normalize(spark, sf):
+    f = _features(spark, sf)
+    n = md.l2_normalize(f)
+    from pyspark.ml.functions import vector_to_array
+    a = vector_to_array(F.col("features_l2"))
+    return n.select("number", F.round(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v), 6).alias("sq_norm"))
