@@ -44,7 +44,7 @@ def q_change_separator(spark, sf):
 
 @register("append_aligned", W + """
 SELECT number, coalesce(short_description, '') AS short_description, coalesce(clasificacion, '') AS "Categoría",
-       CAST(sys_created_on AS VARCHAR) AS fecha_asignacion, '' AS "Origen" FROM tickets
+       strftime(sys_created_on, '%Y-%m-%d %H:%M:%S.%f') AS fecha_asignacion, '' AS "Origen" FROM tickets
 """)
 def q_append_aligned(spark, sf):
     t = b.tickets(spark, sf).select("number", "short_description", F.col("clasificacion").alias("Clasificación"),

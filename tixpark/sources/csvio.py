@@ -65,7 +65,7 @@ def scan_tickets(spark: SparkSession, path: str, sep: str | None = None, encodin
           .option("quote", '"').option("escape", '"').option("multiLine", multiline)
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
           .option("enforceSchema", True).option("nullValue", "\u0001").csv(path))
-    unq = F.regexp_replace(F.col("_corrupt"), r'"(?:[^"]|"")*"', "")
+    unq = F.regexp_replace(F.col("_corrupt"), r'"[^"]*(?:""[^"]*)*"', "")
     width = F.when(F.col("_corrupt").isNull(), F.when(F.col("_rest").isNull(), F.lit(n)).otherwise(F.lit(n + 1)))\
              .otherwise(F.lit(1) + F.length(unq) - F.length(F.replace(unq, F.lit(sep), F.lit(""))))
     df = df.filter(width <= n).drop("_rest", "_corrupt")
@@ -83,7 +83,8 @@ def write_delimited(df: DataFrame, path: str, sep: str = ";", encoding: str = "I
                     mode: str = "overwrite", header: bool = True) -> None:
     """One ``write.csv`` job (``;``, latin-1 by default)."""
     (df.write.mode(mode).option("sep", sep).option("encoding", encoding).option("header", header)
-       .option("quote", '"').option("escape", '"').csv(path))
+       .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def require_columns(df: DataFrame, needed) -> DataFrame:

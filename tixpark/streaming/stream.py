@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 def drop_files(df: DataFrame, folder: str, parts: int = 4, sep: str = ";") -> None:
     """Write a frame as several delimited files (test feed for T1)."""
     (df.repartition(parts).write.mode("append").option("sep", sep).option("header", True)
-       .option("quote", '"').option("escape", '"').csv(folder))
+       .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).csv(folder))
 
 
 def ticket_stream(spark: SparkSession, folder: str, schema, sep: str = ";", max_files: int = 100) -> DataFrame:
