@@ -16,18 +16,22 @@ from .q_features import clean_docs, split
 
 
 def _features(spark, sf):
-    """Fit the 5,000-term vocabulary on labelled rows; vectors for all rows."""
+    """Fit the 5,000-term vocabulary on labelled rows (SQL, bounded by max_features),
+    then vectorise every row on the JVM: CountVectorizerModel -> idf scaling -> L2."""
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import DenseVector
     c = clean_docs(spark, sf)
     lab = c.filter(F.col("clase") != fixed.UNCLASSIFIED)
     vocab = fe.fit_vocabulary(fe.explode_terms(fe.terms_frame(lab, "number", "ctext")),
                               lab.select(F.count(F.lit(1))).scalar(), 1, 5000)
-    size = max(vocab.count(), 1)
-    w = fe.transform_tfidf(fe.explode_terms(fe.terms_frame(c, "number", "ctext")), vocab)
-    vec = fe.to_sparse_vectors(w, size, "doc", "features").withColumnRenamed("doc", "number")
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    empty = F.udf(lambda: SparseVector(size, [], []), VectorUDT())
-    x = c.select("number", "clase").join(vec, "number", "left")
-    return x.withColumn("features", F.coalesce(F.col("features"), empty()))
+    rows = vocab.orderBy("idx").select("term", "idf").collect()      # <= 5,000 rows by construction
+    terms = [r[0] for r in rows] or ["_"]
+    idf = DenseVector([r[1] for r in rows] or [0.0])
+    g = fe.terms_frame(c, "number", "ctext").withColumnRenamed("doc", "number")
+    tf = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="tf").transform(g)
+    x = ElementwiseProduct(scalingVec=idf, inputCol="tf", outputCol="tfidf").transform(tf)
+    x = Normalizer(inputCol="tfidf", outputCol="features", p=2.0).transform(x)
+    return c.select("number", "clase").join(x.select("number", "features"), "number")
 
 
 def _train_test(spark, sf):
