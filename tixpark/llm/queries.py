@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, tokenfiles
+from . import chat, decontam, htmltext, linededup, mixing, neardup, quality, sharding, tokenfiles, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -23,12 +24,36 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of near equal bytes; the K-d tree moves all rows when the count of shards changes, so grown_shard is null."""
+    d = sharding.sharded(table(spark, sf_dir, "documents"), leaves=sharding.LEAVES)
+    return d.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier line, or come within one edit of one."""
+    return linededup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and the edits."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -46,6 +71,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chars_distance", "words_distance")
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, chunks=8)
