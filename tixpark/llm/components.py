@@ -42,3 +42,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if done is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return done
+
+
+def joined_components(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots (node, root)`` after further ``links (a, b)``: only the roots that these join are worked on."""
+    if roots is None:
+        return connected_components(links)
+    r = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    ends = links.join(r, links["a"] == r["_n"], "left").select(F.coalesce("_r", "a").alias("a"), "b")
+    ends = ends.join(r, ends["b"] == r["_n"], "left").select("a", F.coalesce("_r", "b").alias("b"))
+    new = connected_components(ends).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    moved = roots.join(new, roots["root"] == new["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"))
+    fresh = new.join(roots.select(F.col("node").alias("_n")), "_n", "left_anti").select(F.col("_n").alias("node"), F.col("_r").alias("root"))
+    return materialize(moved.union(fresh), "cc-roots")

@@ -14,7 +14,13 @@ on the full shingle sets, so there are no false links.
 Equal sets are one node before any join.  Only the components are asked for, so
 a bucket is not expanded into its pairs: rounds of stars link its members to one
 hub, and what is left to compare exactly are pairs of different components.
-That last join takes every such pair once, at the first index entry they share.
+That last join compares every such pair.
+
+A pair is only brought to its full sets if two exact bounds allow the
+similarity: the sizes, and an odd sketch.  The sketch has a bit for each of
+``SKETCH`` hash values, set if an odd number of the set's shingles have it; the
+bits in which two sketches differ are never more than the shingles in which
+the sets differ.
 
 Defined cases: a null, empty or blank text has an empty set, links with nothing
 and is its own component; a text of fewer words than a shingle is one shingle;
@@ -35,9 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
-from .components import connected_components
+from .components import joined_components
 
 LANES, BITS = 4, 16
+SKETCH, FOLDED = 1024, 4
 MEMO = 300_000
 STAR_ROUNDS = 3
 #: The bits of each value in a signed long.
@@ -86,21 +93,31 @@ def _signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (values.reshape(-1, LANES) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """The odd sketch, as int64s."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), ">i8").astype(np.int64)
 
 
+def _longs(chunks: int) -> list[str]:
+    return [f"s{i}" for i in range(chunks)] + [f"o{i}" for i in range(SKETCH // 64)]
+
+
 def signatures(docs: DataFrame, shingle: int, chunks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, f1, f2`` (fingerprint of the set) and ``s0..`` per row; nulls where the set is empty."""
+    """``doc_id, n_shingles, f1, f2`` (fingerprint of the set), ``s0..`` (signature) and ``o0..`` (sketch) per row; nulls where the set is empty."""
     small_batches(docs.sparkSession)
-    names = [f"s{i}" for i in range(chunks)]
+    names = _longs(chunks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _WordHashes()
         factors = np.array([xxhash.xxh64_intdigest(f"permutation{i}") | 1 for i in range(LANES * chunks)], np.uint64)
         for b in batches:
             n = len(b)
-            out = np.zeros((n, 2 + chunks), np.int64)
+            out = np.zeros((n, 2 + len(names)), np.int64)
             counts = np.zeros(n, np.int64)
             with np.errstate(over="ignore"):
                 for i, t in enumerate(b["text"]):
@@ -108,7 +125,7 @@ def signatures(docs: DataFrame, shingle: int, chunks: int, doc_id: str = "doc_id
                     counts[i] = len(s)
                     if len(s):
                         out[i, :2] = _fingerprint(s)
-                        out[i, 2:] = _signature(s, factors)
+                        out[i, 2:] = np.concatenate((_signature(s, factors), _sketch(s)))
             frame = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": counts})
             empty = counts == 0
             for k, c in enumerate(["f1", "f2", *names]):
@@ -157,16 +174,21 @@ def _differs(chunk: int) -> str:
     return "(" + " + ".join(f"if(((shiftrightunsigned(l.s{chunk} ^ r.s{chunk}, {BITS * j})) & 65535L) = 0, 0, 1)" for j in range(LANES)) + ")"
 
 
-def _plausible(chunks: int, percent: int) -> str:
-    """SQL: sizes and signatures allow the similarity."""
-    distance = " + ".join(_differs(c) for c in range(chunks))
-    return (f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND {distance} <= {2 * chunks - 1}")
+def _bounds(percent: int, longs: int = SKETCH // 64) -> str:
+    """SQL: the sizes and sketches of l and r allow the similarity."""
+    odd = " + ".join(f"bit_count(l.o{i} ^ r.o{i})" for i in range(longs))
+    return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND {100 + percent} * ({odd}) <= {100 - percent} * (l.n + r.n)"
+
+
+def _distance(chunks: int) -> str:
+    """SQL: the signatures of l and r are within the threshold."""
+    return " + ".join(_differs(c) for c in range(chunks)) + f" <= {2 * chunks - 1}"
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 10,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
-    longs = [f"s{i}" for i in range(chunks)]
+    longs = _longs(chunks)
     per_row = materialize(signatures(docs, shingle, chunks, doc_id, text), "neardup-signatures")
     nodes = (per_row.filter("n_shingles > 0").groupBy("f1", "f2")
              .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in longs])
@@ -174,33 +196,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     nodes = materialize(nodes, "neardup-nodes")
 
     # the index: each chunk once for every value left out; buckets of one are dropped
-    entries = [f"named_struct('at', {c * LANES + j}, 'key', xxhash64({c * LANES + j}, s{c} & {~_LANE[j]}L))"
-               for c in range(chunks) for j in range(LANES)]
-    index = nodes.selectExpr("node", f"inline(array({', '.join(entries)}))")
+    entries = [f"xxhash64({c * LANES + j}, s{c} & {~_LANE[j]}L)" for c in range(chunks) for j in range(LANES)]
+    index = nodes.selectExpr("node", f"explode(array({', '.join(entries)})) AS key")
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1").drop("members")
-    index = materialize(index.join(shared, "key").select("key", "at", "node", "hub"), "neardup-index")
+    index = materialize(index.join(shared, "key").select("key", "node", "hub"), "neardup-index")
 
     sig = nodes.select("node", "n", *longs)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         left, right = sig.alias("l"), sig.alias("r")
         p = pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
-        return p.filter(_plausible(chunks, percent)).select("a", "b")
+        return p.filter(_bounds(percent)).filter(_distance(chunks)).select("a", "b")
 
     met = index.select("node").distinct()
     sets = _sets_of(docs, nodes.join(met, "node", "left_semi").select("node", "doc_id", "f1", "f2"), shingle, doc_id, text)
 
-    tried = links = None
-    roots = index.select("node", F.col("node").alias("root")).limit(0)
+    tried = roots = None
     stars = index.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).filter("a <> b").distinct()
     for turn in range(STAR_ROUNDS):
         new = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
         new = materialize(plausible(new), "neardup-stars")
         tried = new if tried is None else tried.union(new)
-        found = materialize(_confirmed(new, sets, percent), "neardup-links")
-        links = found if links is None else links.union(found)
-        roots = connected_components(links)
-        split = index.join(roots, "node", "left").select("key", "at", "node", F.coalesce("root", "node").alias("root"))
+        roots = joined_components(roots, materialize(_confirmed(new, sets, percent), "neardup-links"))
+        split = index.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         several = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         split = materialize(split.join(several, "key", "left_semi"), "neardup-split")
         if turn + 1 == STAR_ROUNDS or split.isEmpty():
@@ -211,19 +229,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
         stars = split.join(hubs, "key").filter("root <> hub_root").select(
             F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
-    # every pair of different components that meets, once: at the first index entry the two share
-    chunk = f"array({', '.join(longs)})[CAST(at DIV {LANES} AS INT)]"
-    lane = " ".join(f"WHEN {j} THEN {_LANE[j]}L" for j in range(LANES))
-    rows = split.join(sig, "node").withColumn("left_out", F.expr(f"{chunk} & CASE pmod(at, {LANES}) {lane} END"))
-    first = " AND ".join(f"(l.at < {LANES * (c + 1)} OR {_differs(c)} > 1)" for c in range(chunks - 1))
-    cross = rows.alias("l").join(rows.alias("r"), F.expr(
-        f"l.key = r.key AND l.at = r.at AND l.root < r.root AND (pmod(l.at, {LANES}) = 0 OR l.left_out <> r.left_out) "
-        f"AND {_plausible(chunks, percent)} AND {first}"))
-    cross = cross.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b"))
+    # every pair of different components that meets; first by sizes and a folded sketch, which keeps the join's rows short
+    folded = nodes.select("node", "n", *[F.expr(" ^ ".join(f"o{i}" for i in range(f, SKETCH // 64, FOLDED))).alias(f"o{f}") for f in range(FOLDED)])
+    rows = split.join(folded, "node")
+    cross = rows.alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key AND l.root < r.root AND {_bounds(percent, FOLDED)}"))
+    cross = plausible(cross.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct())
     cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "neardup-cross")
     last = materialize(_confirmed(cross, sets, percent), "neardup-links")
     if not last.isEmpty():
-        roots = connected_components(links.union(last))
+        roots = joined_components(roots, last)
 
     roots = materialize(nodes.select("node", "doc_id", "f1", "f2").join(roots, "node", "left")
                         .select("f1", "f2", "doc_id", F.coalesce("root", "node").alias("root")), "neardup-roots")

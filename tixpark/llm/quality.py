@@ -113,7 +113,7 @@ def _distance(p: Column, q: Column) -> Column:
     def half(a, b):
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
     parts = F.zip_with(p, q, lambda a, b: half(a, b) + half(b, a))
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0))))
 
 
 def _compared(counts: DataFrame, refs: DataFrame) -> DataFrame:

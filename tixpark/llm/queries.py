@@ -68,7 +68,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "chars_distance", "words_distance")
+        F.round("chars_distance", 6).alias("chars_distance"), F.round("words_distance", 6).alias("words_distance"))
 
 
 @query

@@ -7,7 +7,7 @@ one archive per partition and give it its name when it is whole.
 
 Reader.  Archives are cut into byte ranges.  A task scans its range for the
 gzip magic, takes a candidate for a member if its header decodes to a WARC
-version line, and owns the records that start inside its range, reading on past
+version line and another member or the end follows it, and owns the records that start inside its range, reading on past
 the range's end for the last one; after a member it goes on at its end.  Its
 memory is one buffer and one record.
 
@@ -145,34 +145,41 @@ class _Member:
             return None
         return bytes(self.out[:self.out.index(b"\r\n\r\n") + 4]) if self.out.startswith(b"WARC/") else None
 
-    def rest(self) -> bytes:
-        while self.more():
-            pass
-        if not self.unpacker.eof:
-            raise ValueError("a member is cut off")
-        return bytes(self.out)
+    def rest(self) -> bytes | None:
+        """The whole member, or None if it does not end well."""
+        try:
+            while self.more():
+                pass
+        except zlib.error:
+            return None
+        return bytes(self.out) if self.unpacker.eof else None
 
 
 def records_in(source: fs.FileSystem, path: str, begin: int, end: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(offset, header, block) of the records that start in the bytes ``begin <= offset < end`` of an archive."""
     with source.open_input_file(path) as f:
-        at = begin
+        at, known = begin, begin == 0  # known: a member ends or the archive begins here
         while at < end:
             f.seek(at)
             window = f.read(min(READ_BYTES, end - at) + len(MAGIC) - 1)
             found = window.find(MAGIC)
             if found < 0 or at + found >= end:
-                at += max(len(window) - len(MAGIC) + 1, 1)
+                at, known = at + max(len(window) - len(MAGIC) + 1, 1), False
                 continue
-            at += found
+            at, known = at + found, known and not found
             member = _Member(source, f, at)
             head = member.header()
-            if head is None:  # the magic's bytes inside some member
-                at += 1
+            record = member.rest() if head is not None else None
+            if not known and record is not None:
+                # an archive inside a payload: what follows its member is no member
+                f.seek(member.at)
+                if f.read(len(MAGIC)) not in (MAGIC, b""):
+                    record = None
+            if head is None or record is None:  # the magic's bytes inside some member
+                at, known = at + 1, False
                 continue
-            record = member.rest()
             yield at, head, record[len(head):-4]
-            at = member.at
+            at, known = member.at, True
 
 
 def _fields(head: bytes) -> dict[str, str]:
