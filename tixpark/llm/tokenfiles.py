@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,8 @@ TRAILER = "<QQQ8s"
 TRAILER_BYTES = struct.calcsize(TRAILER)
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 20_000, 65_536, 1
 MEMO_WORDS = 400_000
+#: Marks that are a token apart after a letter (no apostrophe: it may begin one).
+MARKS = ".,!?;:|%&#*$@()[]{}\"-_/\\+=<>~^`"
 #: Blanks to Python's split that are none to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _MANIFEST = "part int, path string, documents long, tokens long, bytes long"
@@ -59,66 +62,97 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+class _Words(dict):
+    """Serialised ids by word, in two generations of bounded size: words in use move to the young one."""
+
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
+        self.unknown: set[str] = set()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            self.unknown.add(word)
+            return b""
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Whole texts to serialised ids (uint32), with a bounded memory of words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.words, self.cores = _Words(), _Words()
 
     def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new words.  Dots and commas after a letter are tokens apart, and
-        the tokenizer lowers case, so words are looked up without either first."""
-        if len(self.words) + len(new) > MEMO_WORDS:
-            self.words.clear()
-        if len(self.cores) + len(new) > MEMO_WORDS:
-            self.cores.clear()
-        split, ask = [], set()
-        for w in new:
-            core = w.rstrip(".,")
-            if core and core[-1].isalpha():
-                tail = w[len(core):]
-            else:
-                core, tail = w, ""
-            if core.isascii():
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Ids of the unknown words.  Marks after a letter are a token apart, and the
+        tokenizer lowers case, so words are looked up without either first."""
+        split = []
+        for w in self.words.unknown:
+            core = w.rstrip(MARKS)
+            if not core or not core[-1].isalpha():
+                core = w
+            tail = w[len(core):]
+            # below U+0100 lower case is one letter for one, wherever it stands
+            if core.isascii() or max(core) < "\u0100":
                 core = core.lower()
             split.append((w, core, tail))
-            ask.update(x for x in (core, tail) if x not in self.cores)
-        ask = list(ask)
-        for w, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            self.cores[w] = np.array(e.ids, "<u4").tobytes()
+            self.cores[core], self.cores[tail]
+        if self.cores.unknown:
+            ask = list(self.cores.unknown)
+            self.cores.update(zip(ask, self._ask(ask)))
+            self.cores.unknown.clear()
         for w, core, tail in split:
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+            self.words[w] = self.cores[core] + self.cores[tail]
+        self.words.unknown.clear()
+        self.words.age()
+        self.cores.age()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        for lo in range(0, len(texts), 64):
-            words: dict[int, list[str]] = {}
-            for i in range(lo, min(lo + 64, len(texts))):
-                t = texts[i]
-                # a special token's text may span words only if it holds blanks, and these have none
-                if _SEPARATORS.search(t) or "<|" in t:
-                    out[i] = self._direct(t)
-                else:
-                    words[i] = t.split()
-            new = set().union(*words.values()).difference(self.words)
-            if len(new) > MEMO_WORDS // 2:
-                for i in words:
-                    out[i] = self._direct(texts[i])
+        out = []
+        for text in texts:
+            # a special token's name may hold what else ends a token
+            if "<|" in text or _SEPARATORS.search(text):
+                out.append(self._direct(text))
                 continue
-            before = self.words
-            if len(before) + len(new) > MEMO_WORDS:
-                self.words, new = {}, set().union(*words.values())
-            self._learn(new)
-            ids = self.words.__getitem__
-            for i, w in words.items():
-                out[i] = b"".join(map(ids, w))
-        return out  # type: ignore[return-value]
+            words = text.split()
+            raw = b"".join(map(self.words.__getitem__, words))
+            if self.words.unknown:
+                known = len(self.words.unknown)
+                if known > MEMO_WORDS // 2:
+                    self.words.unknown.clear()
+                    raw = self._direct(text)
+                else:
+                    self._learn()
+                    raw = b"".join(map(self.words.__getitem__, words))
+                    if self.words.unknown:  # a generation went in between
+                        self.words.unknown.clear()
+                        raw = self._direct(text)
+            out.append(raw)
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The worker's encoder: the tasks of a worker share what it has learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> bytes:
@@ -127,7 +161,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
     length = F.length(F.col(text))
     sample = (docs.filter((length > 0) & (length <= SAMPLE_CHARS)).select(F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
               .orderBy("h").limit(SAMPLE_DOCS).select("text"))
-    encoder = Encoder(tokenizer_path)
+    encoder = encoder_for(tokenizer_path)
     samples = encoder.encode([r["text"] for r in sample.collect()])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -152,7 +186,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, do
         part, attempt = context.partitionId(), context.taskAttemptId()
         words = shared.value
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         out, at = place(folder)
         final, draft = f"{at}/part-{part:06d}.tids", f"{at}/_draft-{part:06d}-{attempt}"
         entries, offset, tokens = [], len(MAGIC) + 8, 0
