@@ -82,6 +82,6 @@ def test_run_and_registration(spark, stages):
     folder, tables, _ = stages
     a, b = (sorted(map(str, x.collect())) for x in (corpus_pipeline.run(spark, folder), tables[-1]))
     assert a == b
-    names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    names = [re.match(r"op(\d+)_", n) for n in __spark_entry__.queries()]
+    assert sorted(int(m[1]) for m in names if m) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -13,8 +13,8 @@ are hashed keys: sums of hashes of (character, place), so that all deletions of
 a line come from two running sums and a line of any length costs its length.
 
 Variants are many, so they are made only for lines that can have a near line.
-Cut in the middle of the shorter one, lines within one edit agree in one half;
-a line whose halves nobody shares has no near line.
+Lines within one edit have the same front or the same back, up to the middle of
+the shorter one; a line whose ends nobody shares has no near line.
 
 A bucket of equal variants is never expanded into pairs: all its members are
 near each other, so each needs only the first of them.  That candidate is
@@ -33,35 +33,47 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MIN_CHARS = 20
+#: Bits of the pre-filter: 2 MB at most.
+BITMAP = 1 << 24
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def _halves(shorter: str) -> list[str]:
-    """SQL: keys of the two halves of ``line`` for a shorter line of that length."""
-    cut = f"CAST(({shorter}) DIV 2 AS INT)"
-    return [f"xxhash64('front', {shorter}, left(line, {cut}))", f"xxhash64('back', {shorter}, right(line, ({shorter}) - {cut}))"]
-
-
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``place (doc_id, tie, no), line`` for every line with a word."""
+    """``place (doc_id, tie, no), d1, line`` for every line with a word; d1 is a digest of the line."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
-    return d.filter(F.col("line").rlike(_WORD)).select(F.struct("doc_id", "tie", "no").alias("place"), "line")
+    return d.filter(F.col("line").rlike(_WORD)).select(F.struct("doc_id", "tie", "no").alias("place"), F.xxhash64("line").alias("d1"), "line")
 
 
 def _distinct(all_lines: DataFrame) -> DataFrame:
-    """``d1, d2`` (digest), ``first`` place, ``size`` and the keys of the halves, one row per different line."""
-    keys = [k for shorter in ("size", "size - 1") for k in _halves(shorter)]
-    rows = all_lines.withColumn("size", F.length("line")).select(
-        "place", "size", F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(2), "line").alias("d2"),
-        F.when(F.col("size") >= MIN_CHARS, F.expr(f"array({', '.join(keys)})")).alias("halves"))
-    return rows.groupBy("d1", "d2").agg(F.min("place").alias("first"), F.first("size").alias("size"), F.first("halves").alias("halves"))
+    """``d1, d2`` (digest of 128 bits) and ``first`` place, one row per different line."""
+    return all_lines.select("place", "d1", F.xxhash64(F.lit(2), "line").alias("d2")).groupBy("d1", "d2").agg(F.min("place").alias("first"))
+
+
+def _with_near(all_lines: DataFrame) -> DataFrame:
+    """``d1`` of the lines of at least ``MIN_CHARS`` that share an end with another line.
+
+    The ends have ``2 * class`` characters, ``class`` the length less one by four:
+    no more than half of the shorter of two lines within one edit, so one end is
+    the same in both.  The first length of a class goes with the class below too.
+    """
+    sized = all_lines.select("d1", "line", F.length("line").alias("size")).filter(F.col("size") >= MIN_CHARS)
+    classes = "(size - 1) DIV 4 AS whole, CASE WHEN (size - 1) % 4 = 0 THEN (size - 1) DIV 4 - 1 END AS below"
+    keys = [f"xxhash64('{end}', {c}, {side}(line, CAST(2 * {c} AS INT)))" for c in ("whole", "below") for end, side in (("front", "left"), ("back", "right"))]
+    ends = sized.selectExpr("d1", "line", *classes.split(", ")).selectExpr(
+        "d1", f"explode(CASE WHEN below IS NULL THEN array({keys[0]}, {keys[1]}) ELSE array({', '.join(keys)}) END) AS end")
+    shared = ends.groupBy("end").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("end")
+    return ends.join(shared, "end", "left_semi").select("d1").distinct()
 
 
-def _with_near(distinct: DataFrame) -> DataFrame:
-    """The lines of at least ``MIN_CHARS`` that share a half with another line: ``first, size``."""
-    halves = distinct.filter(F.col("halves").isNotNull()).select("first", "size", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo <> hi").select("half")
-    return halves.join(shared, "half", "left_semi").select("first").distinct()
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``d1`` may be in ``wanted (d1)``, by a bitmap of ``BITMAP`` bits: 4 KB for each
+    32768, so its size is bounded and it is broadcast.  Spares the join that follows most of the rows."""
+    maps = wanted.select(F.expr(f"bitmap_bucket_number(pmod(d1, {BITMAP}L))").alias("_part"), F.expr(f"bitmap_bit_position(pmod(d1, {BITMAP}L))").alias("_at"))
+    maps = maps.groupBy("_part").agg(F.expr("bitmap_construct_agg(_at)").alias("_map"))
+    r = rows.withColumn("_part", F.expr(f"bitmap_bucket_number(pmod(d1, {BITMAP}L))")).join(F.broadcast(maps), "_part")
+    at = F.expr(f"bitmap_bit_position(pmod(d1, {BITMAP}L))")
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return r.filter(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1).drop("_part", "_map")
 
 
 def _variants(some_lines: DataFrame) -> DataFrame:
@@ -105,9 +117,10 @@ def _candidates(variants: DataFrame) -> DataFrame:
 
 def _near_lines(all_lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """``first`` of the different lines that have an earlier near line, verified."""
-    candidates = _with_near(distinct)
-    some = materialize(all_lines.join(candidates, F.col("place") == F.col("first"), "left_semi").select(F.col("place").alias("first"), "line").distinct(),
-                       "lines-near")
+    wanted = materialize(_with_near(all_lines), "lines-wanted")
+    some = _among(all_lines.select("d1", F.xxhash64(F.lit(2), "line").alias("d2"), "line"), wanted).join(wanted, "d1", "left_semi")
+    firsts = distinct.join(wanted, "d1", "left_semi")
+    some = materialize(some.join(firsts, ["d1", "d2"]).select("first", "line").distinct(), "lines-near")
     pairs = _candidates(materialize(_variants(some), "lines-variants"))
     texts = pairs.join(some, "first").join(some.select(F.col("first").alias("near"), F.col("line").alias("other")), "near")
     return texts.filter(F.levenshtein("line", "other", 1) >= 0).select("first").distinct()

@@ -161,12 +161,16 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
     length = F.length(F.col(text))
     sample = (docs.filter((length > 0) & (length <= SAMPLE_CHARS)).select(F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
               .orderBy("h").limit(SAMPLE_DOCS).select("text"))
-    encoder = encoder_for(tokenizer_path)
-    samples = encoder.encode([r["text"] for r in sample.collect()])
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples
-        return b""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        samples = [raw for b in batches for raw in encoder_for(tokenizer_path).encode(list(b["text"]))]
+        try:
+            yield pd.DataFrame({"dictionary": [zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()]})
+        except zstandard.ZstdError:  # too few samples
+            yield pd.DataFrame({"dictionary": [b""]})
+
+    # one task trains on the bounded sample; the driver gets the dictionary
+    return bytes(sample.coalesce(1).mapInPandas(run, "dictionary binary").first()["dictionary"])
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
