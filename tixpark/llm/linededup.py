@@ -13,8 +13,8 @@ are hashed keys: sums of hashes of (character, place), so that all deletions of
 a line come from two running sums and a line of any length costs its length.
 
 Variants are many, so they are made only for lines that can have a near line.
-Lines within one edit have the same front or the same back, up to the middle of
-the shorter one; a line whose ends nobody shares has no near line.
+Lines within one edit are equal but for the part that the edit lies in: first
+halves are compared for all lines, then finer parts for those left.
 
 A bucket of equal variants is never expanded into pairs: all its members are
 near each other, so each needs only the first of them.  That candidate is
@@ -35,6 +35,7 @@ from .common import materialize
 MIN_CHARS = 20
 #: Bits of the pre-filter: 2 MB at most.
 BITMAP = 1 << 24
+FINE_PARTS = 32
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -49,18 +50,19 @@ def _distinct(all_lines: DataFrame) -> DataFrame:
     return all_lines.select("place", "d1", F.xxhash64(F.lit(2), "line").alias("d2")).groupBy("d1", "d2").agg(F.min("place").alias("first"))
 
 
-def _with_near(all_lines: DataFrame) -> DataFrame:
-    """``d1`` of the lines of at least ``MIN_CHARS`` that share an end with another line.
+def _with_near(some_lines: DataFrame, parts: int) -> DataFrame:
+    """``d1`` of the lines of at least ``MIN_CHARS`` that are equal to another line but for one of ``parts`` parts.
 
-    The ends have ``2 * class`` characters, ``class`` the length less one by four:
-    no more than half of the shorter of two lines within one edit, so one end is
-    the same in both.  The first length of a class goes with the class below too.
+    Lines within one edit have a common front and back that together are no
+    shorter than the longer line less one.  With ``base`` the length less one,
+    down to a multiple of four (neighbours in length share it, or the longer
+    one takes that of the class below too), the edit lies in some part of
+    ``base``, and the front before and the back after that part are the same.
     """
-    sized = all_lines.select("d1", "line", F.length("line").alias("size")).filter(F.col("size") >= MIN_CHARS)
-    classes = "(size - 1) DIV 4 AS whole, CASE WHEN (size - 1) % 4 = 0 THEN (size - 1) DIV 4 - 1 END AS below"
-    keys = [f"xxhash64('{end}', {c}, {side}(line, CAST(2 * {c} AS INT)))" for c in ("whole", "below") for end, side in (("front", "left"), ("back", "right"))]
-    ends = sized.selectExpr("d1", "line", *classes.split(", ")).selectExpr(
-        "d1", f"explode(CASE WHEN below IS NULL THEN array({keys[0]}, {keys[1]}) ELSE array({', '.join(keys)}) END) AS end")
+    sized = some_lines.select("d1", "line", F.length("line").alias("size")).filter(F.col("size") >= MIN_CHARS)
+    bases = "explode(CASE WHEN (size - 1) % 4 = 0 THEN array(size - 1, size - 5) ELSE array((size - 1) DIV 4 * 4) END) AS base"
+    key = f"xxhash64(j, base, left(line, CAST(base * j DIV {parts} AS INT)), right(line, CAST(base - base * (j + 1) DIV {parts} AS INT)))"
+    ends = sized.selectExpr("d1", "line", bases).selectExpr("d1", f"explode(transform(sequence(0, {parts - 1}), j -> {key})) AS end")
     shared = ends.groupBy("end").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("end")
     return ends.join(shared, "end", "left_semi").select("d1").distinct()
 
@@ -117,10 +119,11 @@ def _candidates(variants: DataFrame) -> DataFrame:
 
 def _near_lines(all_lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """``first`` of the different lines that have an earlier near line, verified."""
-    wanted = materialize(_with_near(all_lines), "lines-wanted")
+    wanted = materialize(_with_near(all_lines, 2), "lines-wanted")
     some = _among(all_lines.select("d1", F.xxhash64(F.lit(2), "line").alias("d2"), "line"), wanted).join(wanted, "d1", "left_semi")
     firsts = distinct.join(wanted, "d1", "left_semi")
-    some = materialize(some.join(firsts, ["d1", "d2"]).select("first", "line").distinct(), "lines-near")
+    some = materialize(some.join(firsts, ["d1", "d2"]).select("first", "d1", "line").distinct(), "lines-some")
+    some = materialize(some.join(_with_near(some, FINE_PARTS), "d1", "left_semi").select("first", "line"), "lines-near")
     pairs = _candidates(materialize(_variants(some), "lines-variants"))
     texts = pairs.join(some, "first").join(some.select(F.col("first").alias("near"), F.col("line").alias("other")), "near")
     return texts.filter(F.levenshtein("line", "other", 1) >= 0).select("first").distinct()
