@@ -23,8 +23,9 @@ def direct():
 def test_words_remembered_give_the_same_ids(direct, monkeypatch):
     encoder = tokenfiles.Encoder(tokenizer_path())
     texts = [t or "" for t in TEXTS] * 2
-    for memo in (400_000, 8):  # also where it must forget
+    for memo, chars in ((400_000, 2_000_000), (8, 50)):  # also where it must forget, and cut long texts
         monkeypatch.setattr(tokenfiles, "MEMO_WORDS", memo)
+        monkeypatch.setattr(tokenfiles, "GROUP_CHARS", chars)
         for t, raw in zip(texts, encoder.encode(texts)):
             assert np.frombuffer(raw, "<u4").tolist() == direct(t), t
 

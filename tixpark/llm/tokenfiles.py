@@ -32,6 +32,8 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,8 @@ TRAILER = "<QQQ8s"
 TRAILER_BYTES = struct.calcsize(TRAILER)
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 20_000, 65_536, 1
 MEMO_WORDS = 400_000
+#: Characters of texts whose words are looked up together.
+GROUP_CHARS = 4_000_000
 #: Marks that are a token apart after a letter (no apostrophe: it may begin one).
 MARKS = ".,!?;:|%&#*$@()[]{}\"-_/\\+=<>~^`"
 #: Blanks to Python's split that are none to the tokenizer.
@@ -62,25 +66,38 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-class _Words(dict):
+def _byte_letters() -> dict[int, str]:
+    """Letters of a byte-level vocabulary: printable bytes of latin-1 stand for themselves, the rest follow from U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Memory:
     """Serialised ids by word, in two generations of bounded size: words in use move to the young one."""
 
     def __init__(self):
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.unknown: set[str] = set()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            self.unknown.add(word)
-            return b""
-        self[word] = ids
-        return ids
 
-    def age(self) -> None:
-        if len(self) >= MEMO_WORDS:
-            self.old = dict(self)
-            self.clear()
+    def fill(self, ids: dict[str, bytes | None]) -> list[str]:
+        """Put in what is known; the words that are not."""
+        if len(self.young) >= MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        unknown, young, old = [], self.young, self.old
+        for w in ids:
+            known = young.get(w)
+            if known is None:
+                known = old.get(w)
+                if known is None:
+                    unknown.append(w)
+                    continue
+                young[w] = known
+            ids[w] = known
+        return unknown
 
 
 class Encoder:
@@ -89,61 +106,77 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.cores = _Words(), _Words()
-
-    def _direct(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.model = self.tokenizer.model
+        self.words, self.cores = _Memory(), _Memory()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a lower-case word of letters below U+0100, by the tokenizer's model alone: such a word is one
+        piece in normal form already.  None for any other word."""
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
+            return None
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _learn(self, ids: dict[str, bytes | None], unknown: list[str]) -> None:
         """Ids of the unknown words.  Marks after a letter are a token apart, and the
         tokenizer lowers case, so words are looked up without either first."""
-        split = []
-        for w in self.words.unknown:
+        cores, tails = [], []
+        for w in unknown:
             core = w.rstrip(MARKS)
             if not core or not core[-1].isalpha():
                 core = w
-            tail = w[len(core):]
+            tails.append(w[len(core):])
             # below U+0100 lower case is one letter for one, wherever it stands
-            if core.isascii() or max(core) < "\u0100":
-                core = core.lower()
-            split.append((w, core, tail))
-            self.cores[core], self.cores[tail]
-        if self.cores.unknown:
-            ask = list(self.cores.unknown)
-            self.cores.update(zip(ask, self._ask(ask)))
-            self.cores.unknown.clear()
-        for w, core, tail in split:
-            self.words[w] = self.cores[core] + self.cores[tail]
-        self.words.unknown.clear()
-        self.words.age()
-        self.cores.age()
+            cores.append(core.lower() if core.isascii() or max(core) < "\u0100" else core)
+        parts: dict[str, bytes | None] = dict.fromkeys(cores)
+        parts.update(dict.fromkeys(tails))
+        parts[""] = b""
+        new = {w: self._word(w) for w in self.cores.fill(parts)}
+        ask = [w for w, raw in new.items() if raw is None]
+        new.update(zip(ask, self._ask(ask)))
+        parts.update(new)
+        self.cores.young.update(new)
+        new = dict(zip(unknown, map(add, map(parts.__getitem__, cores), map(parts.__getitem__, tails))))
+        ids.update(new)
+        self.words.young.update(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            # a special token's name may hold what else ends a token
-            if "<|" in text or _SEPARATORS.search(text):
-                out.append(self._direct(text))
-                continue
-            words = text.split()
-            raw = b"".join(map(self.words.__getitem__, words))
-            if self.words.unknown:
-                known = len(self.words.unknown)
-                if known > MEMO_WORDS // 2:
-                    self.words.unknown.clear()
-                    raw = self._direct(text)
-                else:
-                    self._learn()
-                    raw = b"".join(map(self.words.__getitem__, words))
-                    if self.words.unknown:  # a generation went in between
-                        self.words.unknown.clear()
-                        raw = self._direct(text)
-            out.append(raw)
+        out, at = [], 0
+        while at < len(texts):
+            # as many texts as a group may hold; their words are looked up once
+            group, size = [], 0
+            while at < len(texts) and (not group or size + len(texts[at]) <= GROUP_CHARS):
+                group.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            out += [b"".join(self._group(list(_pieces(group[0]))))] if size > GROUP_CHARS else self._group(group)
         return out
 
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if sum(map(len, texts)) > 2 * GROUP_CHARS:  # pieces of one long text
+            return [raw for t in texts for raw in self._group([t])]
+        # a special token's name may hold what else ends a token, and some blanks to Python are none to the tokenizer
+        plain = ["<|" not in t and not _SEPARATORS.search(t) for t in texts]
+        lists = [t.split() for t, p in zip(texts, plain) if p]
+        ids: dict[str, bytes | None] = dict.fromkeys(chain.from_iterable(lists))
+        unknown = self.words.fill(ids)
+        if unknown:
+            self._learn(ids, unknown)
+        known = (b"".join(map(ids.__getitem__, words)) for words in lists)
+        return [next(known) if p else self._ask([t])[0] for t, p in zip(texts, plain)]
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text cut at blanks, where no token can reach across."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + GROUP_CHARS) if at + GROUP_CHARS < len(text) else -1
+        yield text[at:] if end < 0 else text[at:end]
+        at = len(text) if end < 0 else end
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -176,7 +209,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the files of ``docs`` below ``folder``; the manifest, one row per file."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)
     dictionary = train_dictionary(docs, tokenizer_path, doc_id, text)
     shared = spark.sparkContext.broadcast(dictionary)
     target, path = place(folder)
