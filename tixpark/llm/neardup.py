@@ -44,9 +44,9 @@ from .common import materialize, small_batches
 from .components import joined_components
 
 LANES, BITS = 4, 16
-SKETCH, FOLDED = 1024, 4
+SKETCH, FOLDED = 1024, 8
 MEMO = 300_000
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: The bits of each value in a signed long.
 _LANE = [0xFFFF << (BITS * j) if j < LANES - 1 else -(1 << BITS * j) for j in range(LANES)]
 _MIX = [np.uint64(xxhash.xxh64_intdigest(f"mix{i}") | 1) for i in range(16)]
