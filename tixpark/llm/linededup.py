@@ -14,7 +14,8 @@ a line come from two running sums and a line of any length costs its length.
 
 Variants are many, so they are made only for lines that can have a near line.
 Lines within one edit are equal but for the part that the edit lies in: first
-halves are compared for all lines, then finer parts for those left.
+halves are compared for all lines, then finer parts for those left; only the
+places in the parts that are left are deleted.
 
 A bucket of equal variants is never expanded into pairs: all its members are
 near each other, so each needs only the first of them.  That candidate is
@@ -41,7 +42,7 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``place (doc_id, tie, no), d1, line`` for every line with a word; d1 is a digest of the line."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("no", "line"))
     return d.filter(F.col("line").rlike(_WORD)).select(F.struct("doc_id", "tie", "no").alias("place"), F.xxhash64("line").alias("d1"), "line")
 
 
@@ -51,7 +52,8 @@ def _distinct(all_lines: DataFrame) -> DataFrame:
 
 
 def _with_near(some_lines: DataFrame, parts: int) -> DataFrame:
-    """``d1`` of the lines of at least ``MIN_CHARS`` that are equal to another line but for one of ``parts`` parts.
+    """``d1, lo, hi``: the lines of at least ``MIN_CHARS`` that are equal to another line but for one of
+    ``parts`` parts, with the places ``lo <= at < hi`` that an edit may then be at.
 
     Lines within one edit have a common front and back that together are no
     shorter than the longer line less one.  With ``base`` the length less one,
@@ -60,11 +62,13 @@ def _with_near(some_lines: DataFrame, parts: int) -> DataFrame:
     ``base``, and the front before and the back after that part are the same.
     """
     sized = some_lines.select("d1", "line", F.length("line").alias("size")).filter(F.col("size") >= MIN_CHARS)
-    bases = "explode(CASE WHEN (size - 1) % 4 = 0 THEN array(size - 1, size - 5) ELSE array((size - 1) DIV 4 * 4) END) AS base"
-    key = f"xxhash64(j, base, left(line, CAST(base * j DIV {parts} AS INT)), right(line, CAST(base - base * (j + 1) DIV {parts} AS INT)))"
-    ends = sized.selectExpr("d1", "line", bases).selectExpr("d1", f"explode(transform(sequence(0, {parts - 1}), j -> {key})) AS end")
-    shared = ends.groupBy("end").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("end")
-    return ends.join(shared, "end", "left_semi").select("d1").distinct()
+    bases = "explode_outer(CASE WHEN (size - 1) % 4 = 0 THEN array(size - 1, size - 5) ELSE array((size - 1) DIV 4 * 4) END) AS base"
+    front, back = f"CAST(base * j DIV {parts} AS INT)", f"CAST(base - base * (j + 1) DIV {parts} AS INT)"
+    # outer explodes: inner ones would infer filters that compute their arrays once more
+    ends = sized.selectExpr("d1", "line", "size", bases).selectExpr("d1", "line", "size", "base", f"explode_outer(sequence(0, {parts - 1})) AS j")
+    ends = ends.selectExpr("d1", f"xxhash64(j, base, left(line, {front}), right(line, {back})) AS end", f"{front} AS lo", f"size - {back} AS hi")
+    shared = ends.groupBy("end").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).filter("least <> most").select("end")
+    return ends.join(shared, "end", "left_semi").select("d1", "lo", "hi")
 
 
 def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -79,16 +83,17 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _variants(some_lines: DataFrame) -> DataFrame:
-    """``first, kind, key`` of ``some_lines (first, line)``: the line itself ('w'), each deletion ('d'),
-    and each deletion with its place ('s')."""
-    chars = some_lines.select("first", F.length("line").alias("size"), F.posexplode(F.split("line", "")).alias("at", "c")).filter("at < size")
+    """``first, kind, key`` of ``some_lines (first, line, parts)``: the line itself ('w'), and the deletions
+    inside its parts, alone ('d') and with their place ('s')."""
+    chars = some_lines.select("first", "parts", F.length("line").alias("size"), F.posexplode_outer(F.split("line", "")).alias("at", "c")).filter("at < size")
 
     def half(seed: int, shift: int) -> Column:
         # 32 bits each: a sum over 2^31 characters cannot overflow
         return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "c", F.col("at") - shift), 32)
 
     here = [half(seed, 0).alias(f"a{seed}") for seed in (1, 2)] + [half(seed, 1).alias(f"b{seed}") for seed in (1, 2)]
-    chars = chars.select("first", "size", "at", *here)
+    inside = F.exists("parts", lambda p: (F.col("at") >= p["lo"]) & (F.col("at") < p["hi"]))
+    chars = chars.select("first", "size", "at", inside.alias("inside"), *here)
     line = Window.partitionBy("first").orderBy("at")
     before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
     ends = Window.partitionBy("first").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -97,10 +102,10 @@ def _variants(some_lines: DataFrame) -> DataFrame:
         left = F.coalesce(F.sum(f"a{k}").over(before), F.lit(0))
         right = F.sum(f"b{k}").over(ends) - F.sum(f"b{k}").over(after)
         sums += [(left + right).alias(f"v{k}"), F.sum(f"a{k}").over(ends).alias(f"w{k}")]
-    cut = chars.select("first", "size", "at", *sums)
+    cut = chars.select("first", "size", "at", "inside", *sums).filter("inside OR at = 0")
     variant = F.xxhash64(F.col("size") - 1, F.col("v1"), F.col("v2"))
-    kinds = F.array(F.struct(F.lit("d").alias("kind"), variant.alias("key")),
-                    F.struct(F.lit("s").alias("kind"), F.xxhash64(F.lit("s"), "at", variant).alias("key")),
+    kinds = F.array(F.struct(F.when(F.col("inside"), F.lit("d")).alias("kind"), variant.alias("key")),
+                    F.struct(F.when(F.col("inside"), F.lit("s")).alias("kind"), F.xxhash64(F.lit("s"), "at", variant).alias("key")),
                     F.struct(F.when(F.col("at") == 0, F.lit("w")).alias("kind"), F.xxhash64("size", "w1", "w2").alias("key")))
     return cut.select("first", F.inline(kinds)).filter(F.col("kind").isNotNull())
 
@@ -119,13 +124,15 @@ def _candidates(variants: DataFrame) -> DataFrame:
 
 def _near_lines(all_lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """``first`` of the different lines that have an earlier near line, verified."""
-    wanted = materialize(_with_near(all_lines, 2), "lines-wanted")
+    wanted = materialize(_with_near(all_lines, 2).select("d1").distinct(), "lines-wanted")
     some = _among(all_lines.select("d1", F.xxhash64(F.lit(2), "line").alias("d2"), "line"), wanted).join(wanted, "d1", "left_semi")
     firsts = distinct.join(wanted, "d1", "left_semi")
     some = materialize(some.join(firsts, ["d1", "d2"]).select("first", "d1", "line").distinct(), "lines-some")
-    some = materialize(some.join(_with_near(some, FINE_PARTS), "d1", "left_semi").select("first", "line"), "lines-near")
+    # at most two parts for each of FINE_PARTS in a row
+    parts = _with_near(some, FINE_PARTS).groupBy("d1").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
+    some = materialize(some.join(parts, "d1").select("first", "line", "parts"), "lines-near")
     pairs = _candidates(materialize(_variants(some), "lines-variants"))
-    texts = pairs.join(some, "first").join(some.select(F.col("first").alias("near"), F.col("line").alias("other")), "near")
+    texts = pairs.join(some.select("first", "line"), "first").join(some.select(F.col("first").alias("near"), F.col("line").alias("other")), "near")
     return texts.filter(F.levenshtein("line", "other", 1) >= 0).select("first").distinct()
 
 
