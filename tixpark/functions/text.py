@@ -317,18 +317,6 @@ def fold_py(s: str) -> str:
     return unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode("ascii")
 
 
-def fold_ascii_udf():
-    """Opt-in exact NFKD folding for any script, as an Arrow-batched pandas UDF."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def _fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else fold_py(v))
-
-    return _fold
-
-
 # ----------------------------------------------------------------------------
 # SQL renderings for the oracle.
 

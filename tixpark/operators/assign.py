@@ -18,10 +18,15 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.dates import shift_band
+from ..session import written
 from . import dimensions as dim
 from . import workload as wl
 from .dimensions import pystrip
 from .projections import shift_class_flag, shift_rule_flag
+from .ranking import two_level_rank
+
+
+SHIFTS = ("Turno 1", "Turno 2", "Turno 3", "Turno 4", fixed.STANDBY)
 
 
 def shift_lookup(tickets: DataFrame, ts_col: str, calendar: DataFrame, users_prepared: DataFrame,
@@ -29,23 +34,24 @@ def shift_lookup(tickets: DataFrame, ts_col: str, calendar: DataFrame, users_pre
     """On-shift user at the ticket's timestamp; empty cell -> the date's Stand-by;
     the name is canonicalised (J5); null when the calendar has no such date."""
     shift, sdate = shift_band(F.col(ts_col))
-    t = tickets.withColumn("_shift", shift).withColumn("_sdate", sdate)
     cal = calendar.select(F.col("shift_date").alias("_cd"), F.col("shift").alias("_cs"),
                           pystrip(F.col("username")).alias("_cu"))
-    cal = cal.groupBy("_cd", "_cs").agg(F.first("_cu").alias("_cu"))   # first calendar row per date
-    sb = cal.filter(F.col("_cs") == fixed.STANDBY).select(F.col("_cd").alias("_sd"), F.col("_cu").alias("_sb"))
-    t = (t.join(cal, (t["_sdate"] == cal["_cd"]) & (t["_shift"] == cal["_cs"]), "left")
-          .join(sb, t["_sdate"] == sb["_sd"], "left"))
-    user = F.when(F.col("_cu").isNull() | (F.col("_cu") == ""), F.col("_sb")).otherwise(F.col("_cu"))
-    user = F.when(user.isNull() | (pystrip(user) == ""), F.lit(None)).otherwise(F.upper(pystrip(user)))
-    t = t.withColumn("_su", user).drop("_cd", "_cs", "_cu", "_sd", "_sb")
-    t = dim.canonical_assignee(t, "_su", users_prepared, out=out)
-    return t.withColumn(out, F.when(F.col("_su").isNull(), F.lit(None)).otherwise(F.col(out))).drop("_su", "_shift", "_sdate")
+    cal = cal.groupBy("_cd", "_cs").agg(F.min("_cu").alias("_cu"))   # one row per date and shift; a repeated one: the first by name
+    # names are resolved on the calendar (five rows a date), so a ticket joins it once
+    every = cal.groupBy("_cd").agg(F.max(F.when(F.col("_cs") == fixed.STANDBY, F.col("_cu"))).alias("_sb"))
+    every = every.withColumn("_cs", F.explode(F.array(*[F.lit(s) for s in SHIFTS]))).join(cal, ["_cd", "_cs"], "left")
+    user = pystrip(F.when(F.col("_cu").isNull() | (F.col("_cu") == ""), F.col("_sb")).otherwise(F.col("_cu")))
+    every = every.withColumn("_su", F.when(user != "", F.upper(user))).select("_cd", "_cs", "_su")
+    every = dim.canonical_assignee(every, "_su", users_prepared, out=out).filter(F.col("_su").isNotNull()).select("_cd", "_cs", out)
+    t = tickets.withColumn("_shift", shift).withColumn("_sdate", sdate)
+    t = t.join(every, (F.col("_sdate") == F.col("_cd")) & (F.col("_shift") == F.col("_cs")), "left")
+    return t.drop("_cd", "_cs", "_shift", "_sdate")
 
 
 def arrival_rank(df: DataFrame, group_col: str, order_cols, out: str = "arrival") -> DataFrame:
-    """Order of tickets within their group."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(group_col).orderBy(*order_cols)))
+    """Order of tickets within their group; the first order column is a timestamp, bucketed by hour."""
+    hour = F.coalesce(F.unix_timestamp(F.col(order_cols[0]).cast("timestamp")), F.lit(-(1 << 60))) / 3600
+    return two_level_rank(df, [group_col], list(order_cols), F.floor(hour), out)
 
 
 def balance_fill(tickets: DataFrame, member_loads: DataFrame, group_col: str = "grp",
@@ -71,7 +77,7 @@ def balance_fill(tickets: DataFrame, member_loads: DataFrame, group_col: str = "
     slots = m.select(group_col, "member_key", "_L",
                      F.explode(F.sequence(F.lit(0), F.ceil(F.col("_level") - F.col("_L")).cast("int"))).alias("_j"))
     slots = slots.withColumn("_v", F.col("_L") + F.col("_j"))
-    slots = slots.withColumn("_k", F.row_number().over(Window.partitionBy(group_col).orderBy("_v", "member_key")))
+    slots = two_level_rank(slots, [group_col], ["_v", "member_key"], F.floor("_v"), "_k")
     slots = slots.select(group_col, "_k", F.col("member_key").alias(out))
     return t.join(slots, [group_col, "_k"], "left").drop("_k")
 
@@ -98,7 +104,8 @@ def route_tickets(tickets: DataFrame, class_col: str, members: DataFrame, users_
               .when(F.col("grp").isNull(), F.lit("no_group"))
               .when(F.coalesce(F.col("_nc"), F.lit(0)) == 0, F.lit("no_members"))
               .otherwise(F.lit("balanced")))
-    t = t.withColumn("route", route)
+    # everything below reads the routed tickets several times: cut the lineage in the shared scratch folder
+    t = written(t.withColumn("route", route), "routed")
     t = t.withColumn(class_col, F.when(F.col("_rule"), F.lit(fixed.TURNO_CLASS)).otherwise(F.col(class_col)))
     # loads: history + shift tickets of this batch, then the balanced batch
     load = wl.workload(history, users_prepared, as_of, window_days)
@@ -107,7 +114,7 @@ def route_tickets(tickets: DataFrame, class_col: str, members: DataFrame, users_
     load = (load.join(shift_add, "assignee", "full")
                 .select("assignee", (F.coalesce("open", F.lit(0)) + F.coalesce("_add", F.lit(0))).alias("open"),
                         F.coalesce("resolved", F.lit(0)).alias("resolved")))
-    ml = wl.member_workload(cand, load)
+    ml = written(wl.member_workload(cand, load), "member-load")
     bal = balance_fill(t.filter(F.col("route") == "balanced"), ml, "grp", [ts_col, "number"], out="_bal")
     bal = bal.select("number", "_bal")
     t = t.join(bal, "number", "left")

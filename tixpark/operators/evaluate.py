@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
+from .ranking import two_level_rank
 
 
 def seeded_rank_key(id_col: str, seed: int = fixed.SEED) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")), 256)
 
 
+def hash_rank(df: DataFrame, label: str, id_col: str, seed: int, out: str, total: str | None = None) -> DataFrame:
+    """Rank by seeded hash inside each class; the first hex digits of the hash bucket a large class."""
+    h = df.withColumn("_h", seeded_rank_key(id_col, seed))
+    return two_level_rank(h, [label], ["_h", id_col], F.substring("_h", 1, 3), out, total).drop("_h")
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.2,
                      seed: int = fixed.SEED, out: str = "split") -> DataFrame:
     """Per class, the first round(test_size * n_c) rows by seeded hash are test;
     classes with one row go to train."""
-    w = Window.partitionBy(label).orderBy(seeded_rank_key(id_col, seed), id_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    x = df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", n)
+    x = hash_rank(df, label, id_col, seed, "_rn", "_n")
     test = (F.col("_n") >= 2) & (F.col("_rn") <= F.round(F.col("_n") * test_size))
     return x.withColumn(out, F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("_rn", "_n")
 
@@ -33,8 +38,8 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
 def stratified_kfold(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = fixed.SEED,
                      out: str = "fold") -> DataFrame:
     """fold = (rank within class - 1) mod k."""
-    w = Window.partitionBy(label).orderBy(seeded_rank_key(id_col, seed), id_col)
-    return df.withColumn(out, F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    x = hash_rank(df, label, id_col, seed, "_rn")
+    return x.withColumn(out, F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_rn")
 
 
 def label_encode(df: DataFrame, label: str, out: str = "label_idx") -> DataFrame:
@@ -46,12 +51,9 @@ def label_encode(df: DataFrame, label: str, out: str = "label_idx") -> DataFrame
 
 def random_oversample(df: DataFrame, label: str, id_col: str, seed: int = fixed.SEED) -> DataFrame:
     """Every class up to the majority count: whole copies plus a hash-ranked remainder."""
-    cnt = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    target = cnt.select(F.max("_nc")).scalar()
-    x = df.join(cnt, label)
+    target = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).select(F.max("_nc")).scalar()
+    x = hash_rank(df, label, id_col, seed, "_rank", "_nc")
     x = x.withColumn("_q", F.floor(target / F.col("_nc")).cast("int")).withColumn("_r", F.pmod(F.lit(target), F.col("_nc")))
-    w = Window.partitionBy(label).orderBy(seeded_rank_key(id_col, seed), id_col)
-    x = x.withColumn("_rank", F.row_number().over(w))
     copies = F.col("_q") + F.when(F.col("_rank") <= F.col("_r"), 1).otherwise(0)
     x = x.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     return x.drop("_nc", "_q", "_r", "_rank")
@@ -84,6 +86,19 @@ def per_class(counts: DataFrame) -> DataFrame:
     return x.withColumn("f1", f1)
 
 
+def classification_report(counts: DataFrame) -> DataFrame:
+    """``label, precision, recall, f1, support`` per class, then accuracy, macro and weighted averages."""
+    pcs = per_class(counts).select("label", "precision", "recall", "f1", "support", "tp")
+    scores = ("precision", "recall", "f1")
+    total = F.sum("support").alias("support")
+    macro = pcs.agg(*[F.round(F.avg(c), 6).alias(c) for c in scores], total).select(F.lit("macro avg").alias("label"), *scores, "support")
+    weighted = pcs.agg(*[F.round(F.sum(F.col(c) * F.col("support")) / F.sum("support"), 6).alias(c) for c in scores], total)
+    accuracy = F.round(F.sum("tp") / F.sum("support"), 6)
+    overall = pcs.agg(*[accuracy.alias(c) for c in scores], total).select(F.lit("accuracy").alias("label"), *scores, "support")
+    return (pcs.drop("tp").withColumns({c: F.round(c, 6) for c in scores}).unionByName(overall).unionByName(macro)
+            .unionByName(weighted.select(F.lit("weighted avg").alias("label"), *scores, "support")))
+
+
 def classification_metrics(counts: DataFrame) -> DataFrame:
     """Accuracy, macro/micro/weighted F1, weighted precision and recall."""
     pcs = per_class(counts)
@@ -144,3 +159,11 @@ def label_union_distinct(pred: DataFrame, y: str = "y", p: str = "pred") -> Data
 def arg_best(scores: DataFrame, name: str, score: str, order: str) -> DataFrame:
     """O3: best by score, first (lowest ``order``) on ties."""
     return scores.agg(F.max_by(F.col(name), F.struct(F.col(score), -F.col(order))).alias("best"))
+
+
+def cluster_diagnostics(df: DataFrame, cluster: str) -> DataFrame:
+    """Size of each cluster, with the number of clusters (noise, -1, apart) and of noise rows."""
+    sizes = df.groupBy(F.col(cluster).alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy()          # one row per cluster
+    return sizes.withColumn("clusters", F.sum((F.col("cluster_id") >= 0).cast("bigint")).over(every)) \
+        .withColumn("noise", F.sum(F.when(F.col("cluster_id") == -1, F.col("n")).otherwise(F.lit(0))).over(every))

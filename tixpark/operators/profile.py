@@ -7,8 +7,6 @@ columns to profile further.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -78,11 +76,6 @@ def crosstab_long(df: DataFrame, cols, class_col: str, min_values: int = 2, max_
     return x.groupBy("column", "value", "clase").agg(F.count(F.lit(1)).alias("n"))
 
 
-def crosstab_wide(df: DataFrame, col: str, class_col: str) -> DataFrame:
-    """A6 wide form: one row per value, one column per class."""
-    return df.groupBy(col).pivot(class_col).count().fillna(0)
-
-
 def numeric_by_class(df: DataFrame, class_col: str, value_col: str, approx: bool = False,
                      accuracy: int = 10000) -> DataFrame:
     """Min, quartiles, max per class.
@@ -120,51 +113,6 @@ def anova_by_class(df: DataFrame, class_col: str, value_col: str) -> DataFrame:
                     .alias("f_stat"))
 
 
-def f_pvalue(f: float, d1: float, d2: float) -> float:
-    """Survival function of the F distribution (regularised incomplete beta)."""
-    if f is None or not (f > 0):
-        return float("nan") if f is None else 1.0
-    x = d2 / (d2 + d1 * f)
-    return _betainc(d2 / 2.0, d1 / 2.0, x)
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbeta) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbeta) * _betacf(b, a, 1 - x) / b
-
-
-def _betacf(a, b, x, iters=300, eps=3e-16):
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1, a - 1
-    c, d = 1.0, 1 - qab * x / qap
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = 1 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = 1 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1) < eps:
-            break
-    return h
-
-
 def informative_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     """P20 + P21: distinct count per column, numeric flag, and
     ``1 < nunique < 0.9 n`` with a name not starting with ``id``."""

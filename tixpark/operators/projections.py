@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
+from .ranking import two_level_rank
 from ..functions.text import normalize_class, normalize_nfkc, to_column, strip
 
 
@@ -149,12 +150,16 @@ def tag_source_confidence(df: DataFrame, source: str, confidence=None, model: st
     return df.withColumns(cols)
 
 
+#: Rows of a numeric first order column that one task ranks.
+ID_RUN = 100_000
+
+
 def synthesize_id(df: DataFrame, order_cols, out: str = "number") -> DataFrame:
     """Row index (0-based) as id over a stable order when no id column exists."""
     if out in df.columns:
         return df
-    w = Window.orderBy(*order_cols)
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("string"))
+    run = F.coalesce(F.floor(F.col(order_cols[0]).cast("double") / ID_RUN), F.lit(-(1 << 60)))
+    return two_level_rank(df, [], list(order_cols), run, "_rank").withColumn(out, (F.col("_rank") - 1).cast("string")).drop("_rank")
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = fixed.SEED) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import projections as pj
 from ..sources import bindings as b
+from ..session import written
 from .catalog import register
 from .q_profile import BASE_SQL, base
 
@@ -71,36 +72,33 @@ def _sql_tfidf(n_docs_sql: str, min_df: int, max_features, sublinear: bool):
           + "SELECT doc AS number, term, round(weight, 6) AS weight FROM wts")
 def q_tfidf_word(spark, sf):
     d = docs(spark, sf)
-    w, _ = fe.tfidf(d, "number", "text", "word", (1, 2), 3, 150000, sublinear=True, strip_accents=True)
-    return w.select(F.col("doc").alias("number"), "term", F.round("weight", 6).alias("weight"))
+    w, v = fe.tfidf(d, "number", "text", "word", (1, 2), 3, 150000, sublinear=True, strip_accents=True)
+    return fe.with_terms(w, v).select(F.col("doc").alias("number"), "term", F.round("weight", 6).alias("weight"))
 
 
 @register("tfidf_char", DOCS_SQL + _sql_char_tf("docs", "text")
           + _sql_tfidf("(SELECT count(*) FROM docs)", 3, 100000, False)
-          + "SELECT doc AS number, count(*) AS n_terms, round(sum(weight * weight), 6) AS sq_norm, round(max(weight), 6) AS max_weight FROM wts GROUP BY doc")
+          + "SELECT doc AS number, term, round(weight, 6) AS weight FROM wts")
 def q_tfidf_char(spark, sf):
-    d = docs(spark, sf)
-    w, _ = fe.tfidf(d, "number", "text", "char", (3, 5), 3, 100000)
-    return w.groupBy(F.col("doc").alias("number")).agg(
-        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("sq_norm"),
-        F.round(F.max("weight"), 6).alias("max_weight"))
+    w, v = fe.tfidf(docs(spark, sf), "number", "text", "char", (3, 5), 3, 100000)
+    return fe.with_terms(w, v).select(F.col("doc").alias("number"), "term", F.round("weight", 6).alias("weight"))
 
 
-@register("feature_union", DOCS_SQL + _sql_word_tf("docs", "text", True)
-          + _sql_tfidf("(SELECT count(*) FROM docs)", 3, 150000, True)
-          + """
-SELECT doc AS number, count(*) AS n_features, max(idx) AS max_idx, round(sum(weight * weight), 6) AS sq_norm FROM (
-  SELECT doc, idx, weight FROM wts
-  UNION ALL
-  SELECT doc, idx + (SELECT count(*) FROM vocab), weight FROM wts) GROUP BY doc
+_WORD_BLOCK = _sql_word_tf("docs", "text", True) + _sql_tfidf("(SELECT count(*) FROM docs)", 3, 150000, True)
+_CHAR_BLOCK = _sql_char_tf("docs", "text") + _sql_tfidf("(SELECT count(*) FROM docs)", 3, 100000, False)
+
+
+@register("feature_union", DOCS_SQL + _WORD_BLOCK + """
+, word_wts AS (SELECT doc, idx, weight FROM wts), word_size AS (SELECT count(*) AS n FROM vocab)
+, char_wts AS (WITH none AS (SELECT 1)""" + _CHAR_BLOCK + """SELECT doc, idx, weight FROM wts)
+SELECT doc AS number, idx, round(weight, 6) AS weight FROM word_wts
+UNION ALL SELECT doc, idx + (SELECT n FROM word_size), round(weight, 6) FROM char_wts
 """)
 def q_feature_union(spark, sf):
     d = docs(spark, sf)
     w, v = fe.tfidf(d, "number", "text", "word", (1, 2), 3, 150000, sublinear=True, strip_accents=True)
-    u = fe.feature_union(w, w, v.select(F.count(F.lit(1))).scalar())
-    return u.groupBy(F.col("doc").alias("number")).agg(
-        F.count(F.lit(1)).alias("n_features"), F.max("idx").alias("max_idx"),
-        F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("sq_norm"))
+    c, _ = fe.tfidf(d, "number", "text", "char", (3, 5), 3, 100000)
+    return fe.feature_union(w, c, v.count()).select(F.col("doc").alias("number"), "idx", F.round("weight", 6).alias("weight"))
 
 
 _CLEAN_DOCS_SQL = DOCS_SQL + f"""
@@ -120,20 +118,24 @@ def clean_docs(spark, sf):
                    .replace(", tf AS", ", tf_all AS") + ", w0 AS")
           + "SELECT doc AS number, term, round(weight, 6) AS weight FROM wts")
 def q_tfidf_5000(spark, sf):
-    c = clean_docs(spark, sf)
+    grams, vocab = _vocabulary_5000(spark, sf)
+    w = fe.transform_tfidf(grams, vocab)
+    return fe.with_terms(w, vocab).select(F.col("doc").alias("number"), "term", F.round("weight", 6).alias("weight"))
+
+
+def _vocabulary_5000(spark, sf):
+    """Grams of every cleaned ticket, and the 5,000 terms fitted on the labelled ones."""
+    c = written(clean_docs(spark, sf), "cleaned")     # cleaned once
     lab = c.filter(F.col("clase") != fixed.UNCLASSIFIED)
-    vocab = fe.fit_vocabulary(fe.explode_terms(fe.terms_frame(lab, "number", "ctext")), lab.select(F.count(F.lit(1))).scalar(), 1, 5000)
-    w = fe.transform_tfidf(fe.explode_terms(fe.terms_frame(c, "number", "ctext")), vocab)
-    return w.select(F.col("doc").alias("number"), "term", F.round("weight", 6).alias("weight"))
+    vocab = fe.fit_vocabulary(fe.term_counts(fe.terms_frame(lab, "number", "ctext")), lab.count(), 1, 5000)
+    return fe.terms_frame(c, "number", "ctext"), vocab
 
 
 @register("vocabulary_listing", _CLEAN_DOCS_SQL + _sql_word_tf("lab", "ctext", False)
           + _sql_tfidf("(SELECT count(*) FROM lab)", 1, 5000, False)
           + "SELECT idx, term, df, cnt, round(idf, 6) AS idf FROM vocab")
 def q_vocabulary_listing(spark, sf):
-    c = clean_docs(spark, sf)
-    lab = c.filter(F.col("clase") != fixed.UNCLASSIFIED)
-    v = fe.fit_vocabulary(fe.explode_terms(fe.terms_frame(lab, "number", "ctext")), lab.select(F.count(F.lit(1))).scalar(), 1, 5000)
+    _, v = _vocabulary_5000(spark, sf)
     return v.select("idx", "term", "df", "cnt", F.round("idf", 6).alias("idf")).orderBy("term")
 
 
@@ -264,9 +266,15 @@ def q_classification_metrics(spark, sf):
     return ev.classification_metrics(ev.confusion_counts(predictions(spark, sf)))
 
 
-@register("classification_report", _PRED_SQL + "SELECT label, tp, support, predicted, precision, recall, f1 FROM pcs")
+@register("classification_report", _PRED_SQL + """
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM pcs
+UNION ALL SELECT 'accuracy', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), sum(support) FROM pcs
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM pcs
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+                 round(sum(f1 * support) / sum(support), 6), sum(support) FROM pcs
+""")
 def q_classification_report(spark, sf):
-    return ev.per_class(ev.confusion_counts(predictions(spark, sf))).select("label", "tp", "support", "predicted", "precision", "recall", "f1")
+    return ev.classification_report(ev.confusion_counts(predictions(spark, sf)))
 
 
 @register("confusion_matrix", _PRED_SQL + "SELECT y, pred, n, n / sum(n) OVER (PARTITION BY y) AS row_share FROM cc")
@@ -328,20 +336,20 @@ def _scores(spark, sf):
                                       F.coalesce("value", F.lit(0.0)) / 100.0).alias("s"))
 
 
-@register("softmax_confidence", BASE_SQL + _SOFT + "SELECT number, round(conf, 6) AS conf, conf < 0.4 AS needs_review FROM sm")
+@register("softmax_confidence", BASE_SQL + _SOFT + "SELECT number, round(conf, 6) AS conf, conf < 0.1 AS needs_review FROM sm")
 def q_softmax_confidence(spark, sf):
     s = _scores(spark, sf).select("number", ev.softmax_confidence(F.col("s")).alias("conf"))
-    return s.select("number", F.round("conf", 6).alias("conf"), (F.col("conf") < fixed.PROBA_REVIEW_THRESHOLD).alias("needs_review"))
+    return s.select("number", F.round("conf", 6).alias("conf"), (F.col("conf") < fixed.SOFTMAX_REVIEW_THRESHOLD).alias("needs_review"))
 
 
 @register("confidence_summary", BASE_SQL + _SOFT + """
 SELECT CAST(least(floor(conf * 20), 19) AS INTEGER) AS bin, count(*) AS n,
-       (SELECT count(*) FROM sm WHERE conf < 0.4) AS low, (SELECT avg(CASE WHEN conf < 0.4 THEN 1.0 ELSE 0.0 END) FROM sm) AS low_share
+       (SELECT count(*) FROM sm WHERE conf < 0.1) AS low, (SELECT avg(CASE WHEN conf < 0.1 THEN 1.0 ELSE 0.0 END) FROM sm) AS low_share
 FROM sm GROUP BY 1
 """)
 def q_confidence_summary(spark, sf):
     s = _scores(spark, sf).select("number", ev.softmax_confidence(F.col("s")).alias("conf"))
-    return ev.confidence_summary(s, "conf", fixed.PROBA_REVIEW_THRESHOLD)
+    return ev.confidence_summary(s, "conf", fixed.SOFTMAX_REVIEW_THRESHOLD)
 
 
 @register("arg_best", _PRED_SQL + """

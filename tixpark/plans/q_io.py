@@ -19,27 +19,36 @@ def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
 
 
-@register("scan_tickets", W + """
-SELECT number, CASE WHEN u_subcategory IN ('', 'NA', 'N/A', 'NULL', 'null', 'None', 'nan', 'NaN', 'n/a', '#N/A') THEN NULL ELSE u_subcategory END AS u_subcategory,
-       category, regexp_replace(description, '\\r\\n|\\r|\\n', ' ', 'g') AS description FROM tickets
+_NULLS = ", ".join(f"'{t}'" for t in csvio.NULL_TOKENS)
+
+
+def _cell(c: str) -> str:
+    return f"CASE WHEN {c} IN ({_NULLS}) THEN NULL ELSE {c} END"
+
+
+@register("scan_tickets", W + f"""
+SELECT number, {_cell('u_subcategory')} AS u_subcategory,
+       category, regexp_replace({_cell('description')}, '\\r\\n|\\r|\\n', ' ', 'g') AS description FROM tickets
 """)
 def q_scan_tickets(spark, sf):
     t = b.tickets(spark, sf).select("number", "u_subcategory", "category", "description")
     path = _scratch(spark, "export")
     csvio.write_delimited(t, path, sep=";", encoding="ISO-8859-1")
-    df = csvio.scan_tickets(spark, path, sep=";")
+    df = csvio.scan_tickets(spark, path, sep=";", multiline=True)
     return csvio.repair_quoted_newlines(df)
 
 
-@register("change_separator", W + "SELECT number, category, contact_type FROM tickets")
+@register("change_separator", W + f"""
+SELECT number, category, contact_type, {_cell('short_description')} AS short_description, {_cell('description')} AS description FROM tickets
+""")
 def q_change_separator(spark, sf):
-    t = b.tickets(spark, sf).select("number", "category", "contact_type")
+    t = b.tickets(spark, sf).select("number", "category", "contact_type", "short_description", "description")
     a = _scratch(spark, "comma")
     csvio.write_delimited(t, a, sep=",")
-    df = csvio.scan_tickets(spark, a, sep=",")
+    df = csvio.scan_tickets(spark, a, sep=",", multiline=True)
     bpath = _scratch(spark, "semicolon")
     csvio.write_delimited(df, bpath, sep=";")
-    return csvio.scan_tickets(spark, bpath)
+    return csvio.scan_tickets(spark, bpath, multiline=True)
 
 
 @register("append_aligned", W + """
@@ -60,21 +69,24 @@ def q_read_json_config(spark, sf):
             .toDF("event_id", "k")
 
 
-@register("archive_runs_by_date", W + "SELECT number, assigned_to, state FROM history")
+@register("archive_runs_by_date", W + "SELECT number, assigned_to, state FROM history WHERE state IS NOT NULL")
 def q_archive_runs(spark, sf):
     h = b.history(spark, sf).select("number", "assigned_to", "state")
     path = _scratch(spark, "history")
-    csvio.append_history(h.limit(0), path, ["number", "assigned_to", "state"], "2024-01-01_00-00-00")
-    csvio.append_history(h, path, ["number", "assigned_to", "state"], "2024-01-02_08-30-00")
+    # three runs, the last tried twice; the newest holds the tickets with a state
+    csvio.append_history(h, path, h.columns, "2024-01-01_00-00-00")
+    csvio.append_history(h.filter("state IS NULL"), path, h.columns, "2024-01-02_07-00-00")
+    for _ in range(2):
+        csvio.append_history(h.filter("state IS NOT NULL"), path, h.columns, "2024-01-02_08-30-00")
     return csvio.latest_run(spark.read.parquet(path)).select("number", "assigned_to", "state")
 
 
-@register("stream_tickets", W + "SELECT number, category, u_subcategory FROM tickets")
+@register("stream_tickets", W + "SELECT number, category, u_subcategory, short_description, description FROM tickets")
 def q_stream_tickets(spark, sf):
-    t = b.tickets(spark, sf).select("number", "category", "u_subcategory")
+    t = b.tickets(spark, sf).select("number", "category", "u_subcategory", "short_description", "description")
     src = _scratch(spark, "inbox")
     out = _scratch(spark, "stream-out")
     ckpt = _scratch(spark, "stream-ckpt")
     stream.drop_files(t, src, parts=4)
-    stream.run_available(spark, src, t.schema, out, ckpt)
-    return spark.read.parquet(out).select("number", "category", "u_subcategory")
+    stream.run_available(spark, src, t.schema, out, ckpt, multiline=True)
+    return spark.read.parquet(out).select(*t.columns)

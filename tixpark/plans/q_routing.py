@@ -267,12 +267,8 @@ _RES_R = "(('0x' || substr(sha256('42|' || number), 1, 8))::BIGINT % 6)"
 @register("resolution_date", b.ORACLE_WITH + f"""
 , x AS (SELECT number, sys_created_on + INTERVAL 1 MONTH AS base, {_RES_R} AS r FROM tickets)
 , y AS (SELECT number, base, base - r * INTERVAL 1 DAY AS calc FROM x)
-, z AS (SELECT number, base, calc, isodow(calc) - 1 AS wd FROM y)
-SELECT number, CASE WHEN calc IS NULL THEN NULL ELSE strftime(
-  CASE WHEN wd < 5 THEN calc
-       WHEN calc + (7 - wd) * INTERVAL 1 DAY > base THEN calc - (wd - 4) * INTERVAL 1 DAY
-       WHEN calc - (wd - 4) * INTERVAL 1 DAY < base - INTERVAL 5 DAY THEN calc + (7 - wd) * INTERVAL 1 DAY
-       ELSE calc - (wd - 4) * INTERVAL 1 DAY END, '%d/%m/%Y %H:%M:%S') END AS fecha_resolucion
+, z AS (SELECT number, base, calc - greatest(isodow(calc) - 5, 0) * INTERVAL 1 DAY AS workday FROM y)
+SELECT number, strftime(workday + CASE WHEN workday < base - INTERVAL 5 DAY THEN 3 ELSE 0 END * INTERVAL 1 DAY, '%d/%m/%Y %H:%M:%S') AS fecha_resolucion
 FROM z
 """)
 def q_resolution_date(spark, sf):

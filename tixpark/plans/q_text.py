@@ -278,14 +278,15 @@ def q_synthesize_id(spark, sf):
 
 
 @register("case_trim_state", W + f"""
-SELECT number, {s_strip('state')} AS state_trim, upper({s_strip('assigned_to')}) AS key_upper,
+SELECT number, array_to_string(list_transform(string_split({s_strip('state')}, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS state_title,
+       upper({s_strip('assigned_to')}) AS key_upper,
        lower({s_strip('assigned_to')}) AS key_lower FROM history
 """)
 def q_case_trim_state(spark, sf):
     h = b.history(spark, sf)
-    st = tx.to_column(F.col("state"), [tx.strip()])
+    st = pj.case_trim_state(F.col("state"))
     a = tx.to_column(F.col("assigned_to"), [tx.strip()])
-    return h.select("number", st.alias("state_trim"), F.upper(a).alias("key_upper"), F.lower(a).alias("key_lower"))
+    return h.select("number", st.alias("state_title"), F.upper(a).alias("key_upper"), F.lower(a).alias("key_lower"))
 
 
 @register("format_report_line", W + """

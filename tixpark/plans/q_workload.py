@@ -198,7 +198,7 @@ def q_primary_group(spark, sf):
     u = b.users(spark, sf)
     groups = u.select(F.col("nombre").alias("NOMBRE"),
                       F.when(F.col("sys_id").isNull(), F.lit(None))
-                       .otherwise(F.concat(F.lit("G-"), F.substring("sys_id", 4, 1 << 20))).alias("GRUPO 1"),
+                       .otherwise(F.concat(F.lit("G-"), F.expr("substr(sys_id, 4)"))).alias("GRUPO 1"),
                       "ord")
     names = b.history(spark, sf).select("assigned_to").distinct()
     return dim.primary_group(names, "assigned_to", groups, order_col="ord")

@@ -8,54 +8,48 @@ needed for quoted line breaks); repairs are column expressions; sinks are
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-# Cell values pandas reads as missing even with dtype=str (configurable).
-NULL_TOKENS = ("", "NA", "N/A", "NULL", "null", "None", "nan", "NaN", "n/a", "#N/A")
+# Cell texts that pandas reads as missing by default.
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+               "None", "n/a", "nan", "null")
+LATIN1, UTF8 = "ISO-8859-1", "UTF-8"
+
+
+def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
+    """Column names by the CSV reader itself: only the first line is read, in the file's encoding."""
+    names = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"')
+             .csv(path).columns)
+    return [n.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf").strip().strip('"') for n in names]
 
 
 def sniff_delimiter(spark: SparkSession, path: str, first: str = ";", other: str = ",",
-                    encoding: str = "ISO-8859-1") -> tuple[str, list[str]]:
+                    encoding: str = LATIN1) -> tuple[str, list[str]]:
     """S5 + S6: header probe; use ``other`` when ``first`` yields one column; strip a BOM."""
-    line = spark.read.option("encoding", encoding).text(path).limit(1).first()
-    head = (line[0] if line else "").lstrip("﻿").lstrip("ï»¿")
-    sep = first if len(_split_header(head, first)) > 1 else other
-    return sep, [c.strip() for c in _split_header(head, sep)]
-
-
-def _split_header(line: str, sep: str) -> list[str]:
-    out, cur, q = [], [], False
-    i = 0
-    while i < len(line):
-        ch = line[i]
-        if ch == '"':
-            if q and i + 1 < len(line) and line[i + 1] == '"':
-                cur.append('"')
-                i += 2
-                continue
-            q = not q
-        elif ch == sep and not q:
-            out.append("".join(cur))
-            cur = []
-        else:
-            cur.append(ch)
-        i += 1
-    out.append("".join(cur))
-    return out
+    names = _header(spark, path, first, encoding)
+    return (first, names) if len(names) > 1 else (other, _header(spark, path, other, encoding))
 
 
-def scan_tickets(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "ISO-8859-1",
-                 multiline: bool = True, null_tokens=NULL_TOKENS) -> DataFrame:
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 (with or without BOM) if every line decodes, else latin-1."""
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+    return UTF8 if bad.isEmpty() else LATIN1
+
+
+def scan_tickets(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = LATIN1,
+                 multiline: bool = False, null_tokens=NULL_TOKENS) -> DataFrame:
     """Header, all strings, drop over-long rows, keep short rows null-padded.
 
     Reads PERMISSIVE with the header's n columns plus ``_rest`` and
-    ``_corrupt``; a row's width is n + 1 when it parsed cleanly with ``_rest``
-    set, else the separators counted outside quotes of the raw record.
+    ``_corrupt``; a row that parses cleanly has n + 1 fields (a trailing
+    separator makes one), for others the raw record's separators outside quotes
+    count.  ``encoding`` None: UTF-8 if the whole file is, else latin-1.
+    ``multiline`` only where quoted fields hold line breaks: it makes one task
+    per file.
     """
+    encoding = encoding or detect_encoding(spark, path)
     s, cols = sniff_delimiter(spark, path, sep or ";", "," if (sep or ";") == ";" else ";", encoding)
     sep = sep or s
     n = len(cols)
@@ -63,10 +57,11 @@ def scan_tickets(spark: SparkSession, path: str, sep: str | None = None, encodin
                         + [StructField("_rest", StringType()), StructField("_corrupt", StringType())])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
           .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+          .option("columnPruning", False)  # a record's width counts whole records
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
           .option("enforceSchema", True).option("nullValue", "\u0001").csv(path))
     unq = F.regexp_replace(F.col("_corrupt"), r'"[^"]*(?:""[^"]*)*"', "")
-    width = F.when(F.col("_corrupt").isNull(), F.when(F.col("_rest").isNull(), F.lit(n)).otherwise(F.lit(n + 1)))\
+    width = F.when(F.col("_corrupt").isNull(), F.lit(n + 1))\
              .otherwise(F.lit(1) + F.length(unq) - F.length(F.replace(unq, F.lit(sep), F.lit(""))))
     df = df.filter(width <= n).drop("_rest", "_corrupt")
     toks = list(null_tokens)
@@ -87,19 +82,6 @@ def write_delimited(df: DataFrame, path: str, sep: str = ";", encoding: str = "I
        .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def require_columns(df: DataFrame, needed) -> DataFrame:
-    """S7."""
-    missing = [c for c in needed if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing required columns: {missing}")
-    return df
-
-
-def optional_columns(df: DataFrame, defaults: dict) -> DataFrame:
-    """Absent columns read as their default."""
-    return df.withColumns({c: F.lit(v).cast("string") for c, v in defaults.items() if c not in df.columns})
-
-
 def append_aligned(target_columns: list[str], scored: DataFrame, class_candidates=("Categoría", "clasificacion", "Clasificación"),
                    class_source: str = "Clasificación", date_from: str = "opened_at") -> DataFrame:
     """Scored rows aligned to the training set's columns; absent -> ''."""
@@ -118,16 +100,16 @@ def append_aligned(target_columns: list[str], scored: DataFrame, class_candidate
 
 
 def append_history(df: DataFrame, path: str, original_columns: list[str], run_ts: str) -> None:
-    """S10 + S13: append the original columns (assignee overwritten) as a run partition."""
+    """S10 + S13: the original columns (assignee overwritten) as the run's own partition; a retried run replaces it."""
     (df.select(*[F.col(f"`{c}`") for c in original_columns])
-       .withColumn("run_ts", F.lit(run_ts)).withColumn("run_date", F.substring(F.lit(run_ts), 1, 10))
-       .write.mode("append").partitionBy("run_date").parquet(path))
+       .withColumn("run_date", F.substring(F.lit(run_ts), 1, 10)).withColumn("run_ts", F.lit(run_ts))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "run_ts").parquet(path))
 
 
 def latest_run(df: DataFrame) -> DataFrame:
-    """Rows of the newest run (partition-pruned by run_date)."""
-    last = df.select(F.max("run_ts")).scalar()
-    return df.filter(F.col("run_ts") == last)
+    """Rows of the newest run; date and run are partition columns, so only its files are read."""
+    last = df.agg(F.max(F.struct(F.col("run_date").cast("string").alias("d"), F.col("run_ts").cast("string").alias("t"))).alias("m")).first()["m"]
+    return df.filter((F.col("run_date").cast("string") == last["d"]) & (F.col("run_ts").cast("string") == last["t"])) if last else df.limit(0)
 
 
 def latest_version(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
@@ -139,11 +121,6 @@ def latest_version(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
     return files.orderBy(F.desc("version"), F.desc("modificationTime")).limit(1)
 
 
-def read_json_config(spark: SparkSession, path: str) -> DataFrame:
-    """JSON parameters (URLs and a name -> id map)."""
-    return spark.read.option("multiLine", True).json(path)
-
-
 def config_lookup(cfg_json, key: str, default: str = ""):
     """S15 + F29: value of ``configuration_items[key]`` from a JSON text column."""
     m = F.from_json(cfg_json, "map<string,string>")
@@ -153,12 +130,3 @@ def config_lookup(cfg_json, key: str, default: str = ""):
 def summary_text(lines: DataFrame, order_cols, path: str) -> None:
     """Human-readable report lines written as one small text file."""
     lines.orderBy(*order_cols).select("line").coalesce(1).write.mode("overwrite").text(path)
-
-
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """First rows (shape and dtypes come from ``df.schema`` / ``count()``)."""
-    return df.limit(n)
-
-
-def config_json_text(items: dict) -> str:
-    return json.dumps({"configuration_items": items})

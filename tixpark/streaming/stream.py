@@ -20,10 +20,11 @@ def drop_files(df: DataFrame, folder: str, parts: int = 4, sep: str = ";") -> No
        .option("ignoreTrailingWhiteSpace", False).csv(folder))
 
 
-def ticket_stream(spark: SparkSession, folder: str, schema, sep: str = ";", max_files: int = 100) -> DataFrame:
-    """T1 + T2: file stream of exports, each file handled once."""
+def ticket_stream(spark: SparkSession, folder: str, schema, sep: str = ";", max_files: int = 100,
+                  multiline: bool = False, encoding: str = "UTF-8") -> DataFrame:
+    """T1 + T2: file stream of exports, each file handled once; ``multiline`` where quoted fields hold line breaks."""
     return (spark.readStream.schema(schema).option("sep", sep).option("header", True)
-            .option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("multiLine", multiline).option("encoding", encoding)
             .option("maxFilesPerTrigger", max_files).csv(folder))
 
 
@@ -37,11 +38,11 @@ def idempotent_append(out: str):
 
 
 def run_available(spark: SparkSession, folder: str, schema, out: str, checkpoint: str,
-                  transform=None, processing_time: str | None = None):
+                  transform=None, processing_time: str | None = None, multiline: bool = False):
     """Process what is in ``folder`` now (``availableNow``), or keep polling at
     ``processing_time`` (e.g. ``'30 minutes'``) when given; restart from the
     checkpoint after a failure (T5)."""
-    s = ticket_stream(spark, folder, schema)
+    s = ticket_stream(spark, folder, schema, multiline=multiline)
     if transform is not None:
         s = transform(s)
     w = s.writeStream.foreachBatch(idempotent_append(out)).option("checkpointLocation", checkpoint)
