@@ -203,7 +203,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
             yield pd.DataFrame({"dictionary": [b""]})
 
     # one task trains on the bounded sample; the driver gets the dictionary
-    return bytes(sample.coalesce(1).mapInPandas(run, "dictionary binary").first()["dictionary"])
+    row = sample.coalesce(1).mapInPandas(run, "dictionary binary").first()
+    return bytes(row["dictionary"]) if row else b""
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
