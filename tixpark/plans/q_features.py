@@ -118,24 +118,24 @@ def clean_docs(spark, sf):
                    .replace(", tf AS", ", tf_all AS") + ", w0 AS")
           + "SELECT doc AS number, term, round(weight, 6) AS weight FROM wts")
 def q_tfidf_5000(spark, sf):
-    grams, vocab = _vocabulary_5000(spark, sf)
+    grams, vocab, _ = _vocabulary_5000(spark, sf)
     w = fe.transform_tfidf(grams, vocab)
     return fe.with_terms(w, vocab).select(F.col("doc").alias("number"), "term", F.round("weight", 6).alias("weight"))
 
 
 def _vocabulary_5000(spark, sf):
-    """Grams of every cleaned ticket, and the 5,000 terms fitted on the labelled ones."""
+    """Grams of every cleaned ticket, the 5,000 terms fitted on the labelled ones, and the cleaned tickets."""
     c = written(clean_docs(spark, sf), "cleaned")     # cleaned once
     lab = c.filter(F.col("clase") != fixed.UNCLASSIFIED)
     vocab = fe.fit_vocabulary(fe.term_counts(fe.terms_frame(lab, "number", "ctext")), lab.count(), 1, 5000)
-    return fe.terms_frame(c, "number", "ctext"), vocab
+    return fe.terms_frame(c, "number", "ctext"), vocab, c
 
 
 @register("vocabulary_listing", _CLEAN_DOCS_SQL + _sql_word_tf("lab", "ctext", False)
           + _sql_tfidf("(SELECT count(*) FROM lab)", 1, 5000, False)
           + "SELECT idx, term, df, cnt, round(idf, 6) AS idf FROM vocab")
 def q_vocabulary_listing(spark, sf):
-    _, v = _vocabulary_5000(spark, sf)
+    _, v, _ = _vocabulary_5000(spark, sf)
     return v.select("idx", "term", "df", "cnt", F.round("idf", 6).alias("idf")).orderBy("term")
 
 

@@ -28,11 +28,10 @@ def _prepared(spark, sf):
     """(vectors of every ticket, labelled rows with their part): repaired, one row per text, split.
 
     Both are checkpointed: every model reads the same frame."""
-    grams, vocab = _vocabulary_5000(spark, sf)
+    grams, vocab, c = _vocabulary_5000(spark, sf)
     x = grams
     for stage in fe.vector_stages(vocab):
         x = stage.transform(x)
-    c = written(clean_docs(spark, sf), "cleaned")
     vectors = written(c.select("number", "clase").join(x.select(F.col("doc").alias("number"), "features"), "number"), "vectors")
     lab = lb.repair_ambiguous(c.filter(F.col("clase") != fixed.UNCLASSIFIED), "ctext", "clase", "ord")
     lab = lb.dedup_keep_first(lab.select("number", "ord", "clase", "ctext"), "ctext", "ord")
@@ -46,8 +45,8 @@ def _fitted(rows, which: str):
     labels = [r[0] for r in rows.select("clase").distinct().orderBy("clase").collect()]     # the label domain
     train = rows.filter("part = 'train'")
     if which == "svm":
-        train = train.join(ev.class_weights_balanced(train, "clase").select("clase", "weight"), "clase")
-        return md.svm_ovr_balanced(train.count()).fit(train), labels
+        train = written(train.join(ev.class_weights_balanced(train, "clase").select("clase", "weight"), "clase"), "weighted")
+        return md.svm_ovr_balanced(train.count(), max_iter=200).fit(train), labels
     train = written(ev.random_oversample(train, "clase", "number", 42), "oversampled")
     model = md.logistic_regression(train.count(), 1.0, 3000) if which == "lr" else md.random_forest()
     return model.fit(train), labels
