@@ -66,6 +66,13 @@ def test_keep_good_keeps_all_columns_and_the_empty_table(spark):
     assert quality.keep_good(docs.limit(0)).count() == 0 and quality.judged(docs.limit(0)).columns[0] == "doc_id"
 
 
+def test_keep_good_judges_each_row_by_itself(spark):
+    docs = spark.createDataFrame([(None, prose(200), "en"), (None, "junk", "en"), (None, prose(210, 1), "en"), (5, prose(220, 2), "en"), (5, "buy " * 200, "en"),
+                                  (6, prose(230, 3), "en"), (6, prose(230, 3), "en"), (7, None, None)], "doc_id long, text string, lang string")
+    want = [(None, prose(200)), (None, prose(210, 1)), (5, prose(220, 2)), (6, prose(230, 3)), (6, prose(230, 3))]
+    assert sorted(((r.doc_id, r.text) for r in quality.keep_good(docs).collect()), key=str) == sorted(want, key=str)
+
+
 def test_reference_is_not_shaped_by_junk(spark):
     rows = [(i, prose(200 + i, i), "en") for i in range(20)] + [(100 + i, re.sub(" ", "%%%% ", prose(300 + i)), "en") for i in range(3)]
     kept = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}

@@ -48,18 +48,19 @@ def _left(text: str, keep: str) -> str:
     return f"length(regexp_replace({text}, '[^{keep}]+', ''))"
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row of counts per document: the base counts and both histograms."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", whole: bool = False) -> DataFrame:
+    """One row of counts per document: the base counts and both histograms; with ``whole`` also the row itself, as ``row``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.lit(0)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"), row.alias("row"))
     # blanks at either end leave an empty part there
-    d = d.selectExpr("doc_id", "lang", "t", r"split(t, '[\\x20\\x09-\\x0D]+') AS cut")
+    d = d.selectExpr("doc_id", "lang", "t", "row", r"split(t, '[\\x20\\x09-\\x0D]+') AS cut")
     d = d.selectExpr("*", "CAST(cut[0] = '' AS INT) AS lead", "CAST(size(cut) > 1 AND element_at(cut, -1) = '' AS INT) AS trail")
-    d = d.selectExpr("doc_id", "lang", "t", "CASE WHEN lead + trail = 0 THEN cut ELSE slice(cut, 1 + lead, size(cut) - lead - trail) END AS parts")
+    d = d.selectExpr("doc_id", "lang", "t", "row", "CASE WHEN lead + trail = 0 THEN cut ELSE slice(cut, 1 + lead, size(cut) - lead - trail) END AS parts")
     cases = " ".join(f"WHEN '{k}' THEN array({', '.join(repr(w) for w in v)})" for k, v in COMMON_WORDS.items())
     d = d.selectExpr("*", "size(parts) AS n_words", "array_join(parts, '') AS joined",
                      r"filter(split(t, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]') AS lines",
                      f"CASE lang {cases} ELSE CAST(array() AS ARRAY<STRING>) END AS common")
-    d = d.selectExpr("doc_id", "lang", "t", "parts", "n_words", "lines", "common", "length(joined) AS word_chars",
+    d = d.selectExpr("doc_id", "lang", "t", "row", "parts", "n_words", "lines", "common", "length(joined) AS word_chars",
                      "regexp_replace(joined, '[a-z]+', '') AS rest", "filter(parts, x -> array_contains(common, x)) AS known")
     # three-word windows as hashes; sorted together with their places only where one is found twice
     d = d.selectExpr(
@@ -86,7 +87,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     sums = " + ".join(f"w_{i}" for i in range(N_COMMON))
     beyond = r"length(regexp_replace(rest, '[\\x00-\\x7F]+', ''))"
     d = d.selectExpr(
-        "doc_id", "lang", "CAST(n_words AS BIGINT) AS n_words", "CAST(word_chars AS BIGINT) AS word_chars",
+        "doc_id", "lang", "row", "CAST(n_words AS BIGINT) AS n_words", "CAST(word_chars AS BIGINT) AS word_chars",
         f"CAST({_left('rest', '#*$%&|<>')} AS BIGINT) AS n_symbols",
         "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines",
         "CAST(n_repeat_words AS BIGINT) AS n_repeat_words",
@@ -97,7 +98,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed", "n_chars",
         "word_chars - n_rest AS c_lower", "c_upper", "c_digit", "n_chars - word_chars AS c_blank", "n_symbols AS c_symbol",
-        "n_rest - c_upper - c_digit - n_symbols - c_beyond_ascii AS c_other_ascii", "c_beyond_ascii", *_WORDS)
+        "n_rest - c_upper - c_digit - n_symbols - c_beyond_ascii AS c_other_ascii", "c_beyond_ascii", *_WORDS, *["row"] * whole)
 
 
 def _references(counts: DataFrame) -> DataFrame:
@@ -127,25 +128,25 @@ def _compared(counts: DataFrame, refs: DataFrame) -> DataFrame:
             .drop("p_chars", "p_words", "ref_chars", "ref_words", "ref_lang"))
 
 
-def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document: counts, ``base_failed``, both distances and ``kept``."""
-    counts = materialize(features(docs, doc_id, text, lang), "quality-counts")
+def _verdicts(docs: DataFrame, doc_id: str, text: str, lang: str, whole: bool = False) -> DataFrame:
+    """The counts of each row with both distances and ``kept``; with ``whole`` also the row itself."""
+    counts = materialize(features(docs, doc_id, text, lang, whole), "quality-counts")
     good = ~F.col("base_failed")
     first = _compared(counts, _references(counts.filter(good)))
     near = F.coalesce(F.greatest("chars_distance", "words_distance"), F.lit(0.0)) <= TRIM
     last = _compared(counts, _references(first.filter(good & near)))
     far = F.col("chars_distance") > FAR_CHARS
     odd = (F.col("chars_distance") > ODD_CHARS) & (F.col("words_distance") > ODD_WORDS)
-    return last.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                       "chars_distance", "words_distance",
-                       (good & ~F.coalesce(far | odd, F.lit(False))).alias("kept"))
+    return last.withColumn("kept", good & ~F.coalesce(far | odd, F.lit(False)))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that the rules keep; rows of one doc_id fall together.
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row per document: counts, ``base_failed``, both distances and ``kept``."""
+    return _verdicts(docs, doc_id, text, lang).select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "chars_distance", "words_distance", "kept")
+
 
-    A null doc_id cannot be told from another, so such rows are judged by the
-    base rules only through their shared fate: they go if any of them fails.
-    """
-    bad = judged(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the rules keep, each by its own verdict; the rows are written beside their counts."""
+    return _verdicts(docs, "doc_id", "text", "lang", whole=True).filter("kept").select("row.*")
