@@ -92,6 +92,23 @@ def test_empty_table_and_keep_one(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_one_row_of_each_component(spark):
+    rng = random.Random(8)
+    one, two, three, alone = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(4))
+    near = one.rsplit(" ", 1)[0] + " other"
+    rows = [(None, near, 1), (7, one, 2), (9, one, 3), (9, alone, 4),       # a null id beside ids; an id with a copy and a text of its own
+            (None, two, 5), (None, two, 6), (None, two.upper(), 7),         # null ids alone
+            (3, three, 8), (3, three, 8), (3, three, 9), (3, three.upper(), 9),   # repeated rows
+            (None, None, 10), (None, "", 10), (None, "", 10), (4, " ", 11)]        # empty sets
+    rows += [(None, two, 6)] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 int").repartition(3)
+    for _ in range(2):
+        got = [(r.doc_id, (r.text or "").lower(), r.h1) for r in neardup.keep_one(docs).collect()]
+        assert sorted((g for g in got if g[1].strip() and g[1] not in (two, three)), key=str) == sorted([(7, one, 2), (9, alone, 4)], key=str)
+        assert [g[:2] for g in got if g[1] == two] == [(None, two)] and [g[:2] for g in got if g[1] == three] == [(3, three)]
+        assert sorted(g[2] for g in got if not g[1].strip()) == [10, 10, 10, 11]
+
+
 def test_signature_distance_follows_similarity():
     memo = neardup._WordHashes()
     factors = np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)

@@ -27,7 +27,8 @@ and is its own component; a text of fewer words than a shingle is one shingle;
 rows of one doc_id with one text are one document; rows of one doc_id with
 different texts are nodes of their own that share the id; a null doc_id is
 never a component's id, and a component of such rows alone has the id null and
-keeps them all.
+marks them all.  ``keep_one`` thins a table: it keeps one row of each component,
+also of null ids and of repeated rows, and every row with an empty set.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
@@ -49,6 +50,9 @@ MEMO = 300_000
 STAR_ROUNDS = 3
 #: The bits of each value in a signed long.
 _LANE = [0xFFFF << (BITS * j) if j < LANES - 1 else -(1 << BITS * j) for j in range(LANES)]
+#: What a row goes by: its id and a 128-bit hash of its text.
+_KEY = ["doc_id", "h1", "h2"]
+_HASHES = ["xxhash64({0}) AS h1", "xxhash64(1, {0}) AS h2"]
 _MIX = [np.uint64(xxhash.xxh64_intdigest(f"mix{i}") | 1) for i in range(16)]
 
 
@@ -108,7 +112,8 @@ def _longs(chunks: int) -> list[str]:
 
 
 def signatures(docs: DataFrame, shingle: int, chunks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, f1, f2`` (fingerprint of the set), ``s0..`` (signature) and ``o0..`` (sketch) per row; nulls where the set is empty."""
+    """``doc_id, h1, h2`` (hash of the text), ``n_shingles, f1, f2`` (fingerprint of the set), ``s0..`` (signature) and ``o0..`` (sketch) per row;
+    nulls where the set is empty."""
     small_batches(docs.sparkSession)
     names = _longs(chunks)
 
@@ -126,19 +131,20 @@ def signatures(docs: DataFrame, shingle: int, chunks: int, doc_id: str = "doc_id
                     if len(s):
                         out[i, :2] = _fingerprint(s)
                         out[i, 2:] = np.concatenate((_signature(s, factors), _sketch(s)))
-            frame = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": counts})
+            frame = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h1": b["h1"], "h2": b["h2"], "n_shingles": counts})
             empty = counts == 0
             for k, c in enumerate(["f1", "f2", *names]):
                 frame[c] = pd.array(out[:, k], "Int64")
                 frame.loc[empty, c] = pd.NA
             yield frame
 
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in names)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    schema = "doc_id long, h1 long, h2 long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in names)
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return d.selectExpr("*", *[h.format("text") for h in _HASHES]).mapInPandas(run, schema)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """``node, hashes`` for the nodes of ``wanted (node, doc_id, f1, f2)``, from whole texts."""
+    """``node, hashes`` for the nodes of ``wanted (node, doc_id, h1, h2, f1, f2)``, from whole texts."""
     small_batches(docs.sparkSession, 128)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,10 +160,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, doc_id: str, text
                         seen.add(node)
                         nodes.append(node)
                         sets.append(s.view(np.int64))
-            yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "hashes": sets})
+            yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "hashes": pd.Series(sets, dtype="object")})  # none if all were seen
 
     d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
-    rows = d.join(wanted, d["_id"].eqNullSafe(wanted["doc_id"])).select("node", "f1", "f2", "text")
+    d = d.selectExpr("_id", "text", *[f"{h.format('text')}_" for h in _HASHES])
+    rows = d.join(wanted, d["_id"].eqNullSafe(wanted["doc_id"]) & (d["h1_"] == wanted["h1"]) & (d["h2_"] == wanted["h2"])).select("node", "f1", "f2", "text")
     return materialize(rows.mapInPandas(run, "node long, hashes array<long>"), "neardup-sets")
 
 
@@ -185,14 +192,18 @@ def _distance(chunks: int) -> str:
     return " + ".join(_differs(c) for c in range(chunks)) + f" <= {2 * chunks - 1}"
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 10,
-                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+def _first() -> Column:
+    """The smallest key of a group: null ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *_KEY)).alias("first")
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, chunks: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures of each row; ``f1, f2, doc_id, h1, h2, root`` (the first key that has the set, and its component) of each set."""
     longs = _longs(chunks)
     per_row = materialize(signatures(docs, shingle, chunks, doc_id, text), "neardup-signatures")
     nodes = (per_row.filter("n_shingles > 0").groupBy("f1", "f2")
-             .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in longs])
-             .withColumn("node", F.monotonically_increasing_id()))
+             .agg(_first(), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in longs])
+             .select("f1", "f2", *[f"first.{c}" for c in _KEY], "n", *longs).withColumn("node", F.monotonically_increasing_id()))
     nodes = materialize(nodes, "neardup-nodes")
 
     # the index: each chunk once for every value left out; buckets of one are dropped
@@ -209,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
         return p.filter(_bounds(percent)).filter(_distance(chunks)).select("a", "b")
 
     met = index.select("node").distinct()
-    sets = _sets_of(docs, nodes.join(met, "node", "left_semi").select("node", "doc_id", "f1", "f2"), shingle, doc_id, text)
+    sets = _sets_of(docs, nodes.join(met, "node", "left_semi").select("node", *_KEY, "f1", "f2"), shingle, doc_id, text)
 
     tried = roots = None
     stars = index.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).filter("a <> b").distinct()
@@ -239,8 +250,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     if not last.isEmpty():
         roots = joined_components(roots, last)
 
-    roots = materialize(nodes.select("node", "doc_id", "f1", "f2").join(roots, "node", "left")
-                        .select("f1", "f2", "doc_id", F.coalesce("root", "node").alias("root")), "neardup-roots")
+    roots = materialize(nodes.select("node", *_KEY, "f1", "f2").join(roots, "node", "left")
+                        .select("f1", "f2", *_KEY, F.coalesce("root", "node").alias("root")), "neardup-roots")
+    return per_row, roots
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 10,
+                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    per_row, roots = _components(docs, shingle, percent, chunks, doc_id, text)
     named = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_set = roots.join(named, "root").select("f1", "f2", "component_id", F.lit(True).alias("_known"))
     out = per_row.select("doc_id", "n_shingles", "f1", "f2").join(of_set, ["f1", "f2"], "left")
@@ -249,6 +267,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 10) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose document stays: the smallest doc_id of each component."""
-    gone = near_duplicates(docs, shingle, percent, chunks).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row (all columns) of each component of ``docs``, and the rows with an empty set.
+
+    The smallest doc_id stays, null ids last, then the smallest hash of the
+    text; among rows equal in both, the one whose row hash is smallest.
+    """
+    per_row, roots = _components(docs, shingle, percent, chunks, "doc_id", "text")
+    firsts = roots.groupBy("root").agg(_first()).select(*[F.col(f"first.{c}").alias(f"_{c}") for c in _KEY])
+    keys = per_row.filter("n_shingles > 0").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"))
+
+    # keys whose rows do not all stay
+    marked = keys.join(firsts, keys["doc_id"].eqNullSafe(firsts["_doc_id"]) & (keys["h1"] == firsts["_h1"]) & (keys["h2"] == firsts["_h2"]), "left")
+    marked = marked.select(*[F.col(c).alias(f"_{c}") for c in _KEY], "copies", F.col("_h1").isNotNull().alias("stays"))
+    marked = materialize(marked.filter("NOT stays OR copies > 1"), "neardup-marked")
+    repeated = marked.filter("stays")
+
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"),
+                        *[F.expr(h.format("text")) for h in _HASHES])
+
+    def at(keys: DataFrame) -> Column:
+        return keyed["_id"].eqNullSafe(keys["_doc_id"]) & (keyed["h1"] == keys["_h1"]) & (keyed["h2"] == keys["_h2"])
+
+    out = keyed.join(marked, at(marked), "left_anti").select("row.*")
+    if repeated.isEmpty():
+        return out
+    one = keyed.join(repeated, at(repeated), "left_semi").groupBy("_id", "h1", "h2").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.union(one.select("row.*"))
