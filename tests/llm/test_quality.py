@@ -73,6 +73,22 @@ def test_keep_good_judges_each_row_by_itself(spark):
     assert sorted(((r.doc_id, r.text) for r in quality.keep_good(docs).collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("lang", [None, "xx"])
+def test_every_language_has_a_word_reference(spark, lang):
+    good = [(i, prose(200 + i, i), lang) for i in range(20)] + [(50, prose(200), "en")]
+    junk = [(100 + i, " | ".join(w for w in prose(300, i).split() if len(w) > 4), lang) for i in range(4)]
+    got = quality.judged(spark.createDataFrame(good + junk + [(60, "only one", "yy")], "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.kept for r in got} == {d: d <= 50 for d, *_ in good + junk} | {60: False}
+    assert all(r.words_distance > quality.ODD_WORDS and quality.ODD_CHARS < r.chars_distance <= quality.FAR_CHARS for r in got if r.doc_id >= 100)
+
+
+def test_common_words_are_counted_over_acceptable_documents(spark):
+    docs = [("xx", "el ra " * 3 + " ".join(f"u{i}" for i in range(60))), ("xx", "ra mo | 7 " + " ".join(f"v{i}" for i in range(60))), ("xx", "buy " * 500), ("en", prose(90))]
+    got = quality._learned(spark.createDataFrame(docs, "lang string, text string"), "text", "lang").collect()
+    assert [(r.word_lang, r.learned) for r in got] == [("xx", ["ra", "el", "mo"])]
+    assert quality._learned(spark.createDataFrame(docs[3:], "lang string, text string"), "text", "lang") is None
+
+
 def test_reference_is_not_shaped_by_junk(spark):
     rows = [(i, prose(200 + i, i), "en") for i in range(20)] + [(100 + i, re.sub(" ", "%%%% ", prose(300 + i)), "en") for i in range(3)]
     kept = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}

@@ -10,19 +10,20 @@ from all documents that pass the base rules, then from those near the first
 reference, so that junk does not shape what it is compared with.
 
 Defined cases: a null or blank text has no words and fails the base rules; a
-null ``lang`` is a language of its own; a language without word list has the
-one bin "other words"; a language without any acceptable document is judged by
+null ``lang`` is a language of its own; a language without fixed list takes the
+words of letters that its acceptable documents hold most often, and keeps its
+first reference if none is near that; a language without any acceptable document is judged by
 the base rules alone; repeated rows count and are judged each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, total
 
-#: The most common words of each language.
+#: The most common words of these languages; those of every other are counted.
 COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
     "en": ["the", "of", "and", "to", "a", "in", "is", "that"],
@@ -40,6 +41,7 @@ FAR_CHARS, ODD_CHARS, ODD_WORDS = 0.30, 0.17, 0.20
 TRIM = 0.25
 
 _CLASSES = ["c_lower", "c_upper", "c_digit", "c_blank", "c_symbol", "c_other_ascii", "c_beyond_ascii"]
+_BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)"
 _WORDS = [f"w_{i}" for i in range(N_COMMON)] + ["w_other"]
 
 
@@ -48,18 +50,44 @@ def _left(text: str, keep: str) -> str:
     return f"length(regexp_replace({text}, '[^{keep}]+', ''))"
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", whole: bool = False) -> DataFrame:
-    """One row of counts per document: the base counts and both histograms; with ``whole`` also the row itself, as ``row``."""
+def _learned(docs: DataFrame, text: str, lang: str) -> DataFrame | None:
+    """``word_lang, learned``: the most common words of each language without fixed list, over its acceptable documents."""
+    others = docs.filter(F.col(lang).isNull() | ~F.col(lang).isin(*COMMON_WORDS))
+    if others.isEmpty():
+        return None
+    others = others.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    good = features(others, "lang", "text", "lang", words=True).filter("NOT base_failed")
+    counted = good.select("lang", F.explode("parts").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.filter(r"word RLIKE '^[\\p{L}\\p{M}][\\p{L}\\p{M}''’-]*$'")
+    # ranks in two levels: no task holds all words of a language
+    order = [F.desc("n"), "word"]
+    counted = counted.withColumn("b", F.pmod(F.xxhash64("word"), F.lit(256)))
+    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "b").orderBy(*order))).filter(F.col("r") <= N_COMMON)
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= N_COMMON)
+    words = top.groupBy(F.col("lang").alias("word_lang")).agg(F.sort_array(F.collect_list(F.struct("r", "word"))).alias("top"))
+    return materialize(words.select("word_lang", F.col("top.word").alias("learned")), "quality-words")
+
+
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", whole: bool = False,
+             learned: DataFrame | None = None, words: bool = False) -> DataFrame:
+    """One row of counts per document: the base counts and both histograms; with ``whole`` also the row itself, as ``row``.
+
+    ``learned`` holds the common words of languages without fixed list; ``words`` asks for ``lang, base_failed, parts`` alone.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.lit(0)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"), row.alias("row"))
     # blanks at either end leave an empty part there
     d = d.selectExpr("doc_id", "lang", "t", "row", r"split(t, '[\\x20\\x09-\\x0D]+') AS cut")
     d = d.selectExpr("*", "CAST(cut[0] = '' AS INT) AS lead", "CAST(size(cut) > 1 AND element_at(cut, -1) = '' AS INT) AS trail")
     d = d.selectExpr("doc_id", "lang", "t", "row", "CASE WHEN lead + trail = 0 THEN cut ELSE slice(cut, 1 + lead, size(cut) - lead - trail) END AS parts")
+    if learned is None:
+        d = d.withColumn("learned", F.lit(None).cast("array<string>"))
+    else:
+        d = d.join(learned, d["lang"].eqNullSafe(learned["word_lang"]), "left")
     cases = " ".join(f"WHEN '{k}' THEN array({', '.join(repr(w) for w in v)})" for k, v in COMMON_WORDS.items())
     d = d.selectExpr("*", "size(parts) AS n_words", "array_join(parts, '') AS joined",
                      r"filter(split(t, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]') AS lines",
-                     f"CASE lang {cases} ELSE CAST(array() AS ARRAY<STRING>) END AS common")
+                     f"CASE lang {cases} ELSE coalesce(learned, CAST(array() AS ARRAY<STRING>)) END AS common")
     d = d.selectExpr("doc_id", "lang", "t", "row", "parts", "n_words", "lines", "common", "length(joined) AS word_chars",
                      "regexp_replace(joined, '[a-z]+', '') AS rest", "filter(parts, x -> array_contains(common, x)) AS known")
     # three-word windows as hashes; sorted together with their places only where one is found twice
@@ -83,7 +111,9 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         "*",
         "CASE WHEN at IS NULL OR size(at) = 0 THEN 0 ELSE 3 + aggregate(zip_with(slice(at, 2, size(at)), slice(at, 1, size(at) - 1), "
         "(n, p) -> least(3, n - p)), 0, (s, x) -> s + coalesce(x, 0)) END AS n_repeat_words",
-        *[f"CAST(size(filter(known, x -> x = common[{i}])) AS BIGINT) AS w_{i}" for i in range(N_COMMON)])
+        *[f"CAST(size(filter(known, x -> x = get(common, {i}))) AS BIGINT) AS w_{i}" for i in range(N_COMMON)])
+    if words:
+        return d.selectExpr("lang", f"{_BASE_FAILED} AS base_failed", "parts")
     sums = " + ".join(f"w_{i}" for i in range(N_COMMON))
     beyond = r"length(regexp_replace(rest, '[\\x00-\\x7F]+', ''))"
     d = d.selectExpr(
@@ -96,7 +126,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         *[f"w_{i}" for i in range(N_COMMON)], f"n_words - ({sums}) AS w_other")
     return d.selectExpr(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed", "n_chars",
+        f"{_BASE_FAILED} AS base_failed", "n_chars",
         "word_chars - n_rest AS c_lower", "c_upper", "c_digit", "n_chars - word_chars AS c_blank", "n_symbols AS c_symbol",
         "n_rest - c_upper - c_digit - n_symbols - c_beyond_ascii AS c_other_ascii", "c_beyond_ascii", *_WORDS, *["row"] * whole)
 
@@ -130,11 +160,18 @@ def _compared(counts: DataFrame, refs: DataFrame) -> DataFrame:
 
 def _verdicts(docs: DataFrame, doc_id: str, text: str, lang: str, whole: bool = False) -> DataFrame:
     """The counts of each row with both distances and ``kept``; with ``whole`` also the row itself."""
-    counts = materialize(features(docs, doc_id, text, lang, whole), "quality-counts")
+    learned = _learned(docs, text, lang)
+    counts = materialize(features(docs, doc_id, text, lang, whole, learned), "quality-counts")
     good = ~F.col("base_failed")
-    first = _compared(counts, _references(counts.filter(good)))
+    refs = _references(counts.filter(good))
+    first = _compared(counts, refs)
     near = F.coalesce(F.greatest("chars_distance", "words_distance"), F.lit(0.0)) <= TRIM
-    last = _compared(counts, _references(first.filter(good & near)))
+    again = _references(first.filter(good & near))
+    if learned is not None:
+        lone = refs.filter(F.col("ref_lang").isNull() | ~F.col("ref_lang").isin(*COMMON_WORDS))
+        mine = again.select(F.col("ref_lang").alias("_lang"))
+        again = again.union(lone.join(mine, lone["ref_lang"].eqNullSafe(mine["_lang"]), "left_anti"))
+    last = _compared(counts, again)
     far = F.col("chars_distance") > FAR_CHARS
     odd = (F.col("chars_distance") > ODD_CHARS) & (F.col("words_distance") > ODD_WORDS)
     return last.withColumn("kept", good & ~F.coalesce(far | odd, F.lit(False)))
