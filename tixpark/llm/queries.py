@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, linededup, mixing, neardup, quality, sharding, tokenfiles, warc
+from . import chat, decontam, htmltext, linededup, mixing, neardup, quality, runs, sharding, tokenfiles, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -81,6 +81,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, chunks=8)
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over ``documents``."""
