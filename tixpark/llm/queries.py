@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, linededup, mixing, neardup, quality, runs, sharding, tokenfiles, warc
+from . import chat, decontam, htmltext, linededup, mixing, neardup, quality, runs, sharding, tokenfiles, warc, whitening
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -86,6 +86,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over ``documents``."""
