@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, linededup, mixing, neardup, quality, runs, sharding, tokenfiles, warc, whitening
+from . import chat, decontam, htmltext, linededup, mixing, neardup, quality, runs, sharding, tokenfiles, toxicity, warc, whitening
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -91,6 +91,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over ``documents``."""
