@@ -43,6 +43,8 @@ BUCKET_BITS = 20
 CANDIDATES, FEATURES, LEAST_G = 16_384, 4096, 15.0
 #: Gradient passes, the weights' penalty, and the score from which a document or sentence is called toxic.
 PASSES, PENALTY, THRESHOLD = 40, 0.5, 0.3
+#: Labelled documents that are broadcast as (id, label); more are joined by a shuffle.
+LABELS = 4_000_000
 #: Code points that are worked on at a time.
 PIECE = 1 << 18
 _STOP = re.compile(r"[.!?\n…。]")
@@ -65,13 +67,17 @@ class Model:
 
 @dataclass
 class Piece:
-    """Some text: gram hashes and the sentence of each, the document of each sentence, and its [start, end)."""
+    """Some text: gram hashes and the sentence of each, the document of each sentence, and its [start, end).
+
+    A piece holds whole documents, or a part of one; then ``goes_on`` unless it is the last part.
+    """
 
     grams: np.ndarray
     sentence: np.ndarray
     document: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    goes_on: bool = False
 
 
 def held_out(doc_id: Column) -> Column:
@@ -134,16 +140,38 @@ def _pieces(texts: list[str | None]) -> Iterator[Piece]:
     for d, text in enumerate(texts):
         if not text:
             continue
-        for offset, part in _parts(_lower(text)):
-            if parts and size + len(part) > PIECE:
-                yield _piece(parts)
-                parts, size = [], 0
-            parts.append((d, offset, part))
-            size += len(part) + 1
+        cut = [(d, offset, part) for offset, part in _parts(_lower(text))]
+        if parts and (len(cut) > 1 or size + len(text) > PIECE):
+            yield _piece(parts)
+            parts, size = [], 0
+        if len(cut) > 1:
+            for k, part in enumerate(cut):
+                piece = _piece([part])
+                piece.goes_on = k + 1 < len(cut)
+                yield piece
+        else:
+            parts += cut
+            size += len(text) + 1
     if parts:
         yield _piece(parts)
 
 
+def _by_document(texts: list[str | None], wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, gram) of whole documents, those in ``wanted`` buckets if given; a gram may come more than once."""
+    held: list[np.ndarray] = []
+    for piece in _pieces(texts):
+        near = slice(None) if wanted is None else np.flatnonzero(wanted[_bucket(piece.grams)])
+        grams, document = piece.grams[near], piece.document[piece.sentence[near]]
+        if piece.goes_on or held:
+            held.append(np.unique(grams))
+            if piece.goes_on:
+                continue
+            grams = np.unique(np.concatenate(held))
+            document = np.full(len(grams), piece.document[0] if len(piece.document) else 0)
+            held = []
+        yield document, grams
+
+
 def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -166,10 +194,14 @@ def _features(piece: Piece, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return key // max(len(model.grams), 1), key % max(len(model.grams), 1)
 
 
-def _softplus(z: np.ndarray) -> np.ndarray:
+def _softplus(z):
     return np.logaddexp(0, z)
 
 
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def _scored(piece: Piece, model: Model) -> np.ndarray:
     """z of every sentence of a piece."""
     if not len(model.grams):
@@ -179,50 +211,60 @@ def _scored(piece: Piece, model: Model) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, y) of the labelled documents that are not held out."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")) \
-        .agg(F.max(F.col("toxic") == 1).cast("int").alias("y"))
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").where(~held_out(F.col("_id")))
+    """(text, y) of the labelled documents that are not held out.
+
+    Labels are narrow: up to ``LABELS`` of them (counted) are broadcast, so texts stay where they are.
+    """
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))) \
+        .groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.max(F.col("toxic") == 1).cast("int").alias("y"))
+    marks = materialize(marks, "toxicity-labels")
+    if marks.count() <= LABELS:
+        marks = F.broadcast(marks)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     return rows.join(marks, F.col("_id") == F.col("_label_id")).select("text", "y")
 
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(key, pos, neg) parts added up by key."""
+    key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    out = [key]
+    for i in (1, 2):
+        out.append(np.bincount(at, np.concatenate([p[i] for p in parts]), len(key)).astype(np.int64))
+    return tuple(out)
+
+
 def _counts(train: DataFrame, buckets: np.ndarray | None) -> DataFrame:
     """(k, pos, neg): documents by label that hold each bucket, or, for given buckets, each gram in them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = None if buckets is None else _mask_of(buckets)
-        total: dict[int, np.ndarray] = {}
-        tally = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
+        wanted = None if buckets is None else _mask_of(buckets)
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            seen = []
-            for piece in _pieces(batch.column(0).to_pylist()):
-                grams, document = piece.grams, piece.document[piece.sentence] if len(piece.sentence) else piece.sentence
-                if mask is None:
-                    seen.append(np.unique(document << BUCKET_BITS | _bucket(grams)))
+            for document, grams in _by_document(batch.column(0).to_pylist(), wanted):
+                if not len(grams):
+                    continue
+                if wanted is None:
+                    key, at, bits = np.arange(1 << BUCKET_BITS), _bucket(grams), BUCKET_BITS
                 else:
-                    near = np.flatnonzero(mask[_bucket(grams)])
-                    seen.append(np.unique(np.stack((document[near], grams[near])), axis=1))
-            if not seen:
-                continue
-            if mask is None:
-                key = np.unique(np.concatenate(seen))
-                for label in (0, 1):
-                    some = key[y[key >> BUCKET_BITS] == label]
-                    tally[label] += np.bincount(some & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
-            else:
-                document, grams = np.unique(np.concatenate(seen, axis=1), axis=1)
-                for label in (0, 1):
-                    values, n = np.unique(grams[y[document] == label], return_counts=True)
-                    for g, c in zip(values.tolist(), n.tolist()):
-                        total.setdefault(g, np.zeros(2, dtype=np.int64))[label] += c
-        if mask is None:
-            k = np.flatnonzero(tally.any(axis=0))
-            out = [k, tally[1][k], tally[0][k]]
-        else:
-            out = [np.array(list(total), dtype=np.int64), *(np.array([v[i] for v in total.values()], dtype=np.int64) for i in (1, 0))]
-        for i in range(0, len(out[0]), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65536]) for c in out], names=["k", "pos", "neg"])
+                    key, at = np.unique(grams, return_inverse=True)
+                    bits = int(len(key)).bit_length()
+                pair = np.unique(document << bits | at)
+                toxic, at = y[pair >> bits] == 1, pair & ((1 << bits) - 1)
+                count = [np.bincount(at[some], minlength=len(key)) for some in (toxic, ~toxic)]
+                if wanted is None and parts:  # the buckets' counts are added in place
+                    for i in (0, 1):
+                        parts[0][i + 1][:] += count[i]
+                else:
+                    parts.append((key, *count))
+                if len(parts) > 64:
+                    parts = [_merged(parts)]
+        if not parts:
+            return
+        key, pos, neg = parts[0] if wanted is None else _merged(parts)
+        some = np.flatnonzero(pos + neg)
+        for i in range(0, len(some), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(c[some[i:i + 65536]]) for c in (key, pos, neg)], names=["k", "pos", "neg"])
 
     return train.select("text", "y").mapInArrow(work, "k long, pos long, neg long").groupBy("k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -246,25 +288,30 @@ def _best(counts: DataFrame, toxic: int, clean: int, top: int) -> np.ndarray:
 
 
 def _bags(train: DataFrame, model: Model) -> DataFrame:
-    """(y, n, sentence, feature): every training document's number of sentences and its chosen features."""
+    """(y, plain, sentence, feature): every training document's number of sentences without chosen features, and
+    the others' features.  Clean documents are sums over sentences, so theirs without features are one row a batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = batch.num_rows
-            n, rows = np.zeros(size, dtype=np.int64), []
+            size, y = batch.num_rows, batch.column(1).to_numpy(zero_copy_only=False)
+            plain, rows, base = np.zeros(size, dtype=np.int64), [], 0
             for piece in _pieces(batch.column(0).to_pylist()):
                 sentence, feature = _features(piece, model)
-                first = np.searchsorted(piece.document, np.arange(size))
-                document = piece.document[sentence]
-                rows.append((document, sentence - first[document] + n[document], feature))
-                n += np.bincount(piece.document, minlength=size)
+                rows.append((piece.document[sentence], sentence + base, feature))
+                base += len(piece.document)
+                plain += np.bincount(piece.document, minlength=size) - np.bincount(piece.document[np.unique(sentence)], minlength=size)
             document, sentence, feature = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-            offsets = pa.array(np.searchsorted(document, np.arange(size + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(sentence.astype(np.int32))),
-                 pa.ListArray.from_arrays(offsets, pa.array(feature.astype(np.int32)))], names=["y", "n", "sentence", "feature"])
+            held = np.bincount(document, minlength=size)
+            some = np.flatnonzero((held > 0) | (y == 1))
+            offsets = pa.array(np.append(0, np.cumsum(held[some])).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in (sentence, feature)]
+            yield pa.RecordBatch.from_arrays([pa.array(y[some]), pa.array(np.where(y == 1, plain, 0)[some]), *lists],
+                                             names=["y", "plain", "sentence", "feature"])
+            none = pa.array([[]], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([int(plain[y == 0].sum())]), none, none],
+                                             names=["y", "plain", "sentence", "feature"])
 
-    return train.select("text", "y").mapInArrow(work, "y int, n long, sentence array<int>, feature array<int>")
+    return train.select("text", "y").mapInArrow(work, "y int, plain long, sentence array<int>, feature array<int>")
 
 
 def _gradient(bags: DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -274,21 +321,21 @@ def _gradient(bags: DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(k + 1)
         for batch in batches:
-            y, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            y, plain = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             held = np.diff(batch.column(2).offsets.to_numpy())
+            feature = batch.column(3).flatten().to_numpy()
             document = np.repeat(np.arange(batch.num_rows), held)
             sentence = batch.column(2).flatten().to_numpy()
-            feature = batch.column(3).flatten().to_numpy()
-            first = np.cumsum(n) - n
-            at = first[document] + sentence
-            z = bias + np.bincount(at, weights[feature], int(n.sum()))
-            of = np.repeat(np.arange(batch.num_rows), n)
-            hazard = np.bincount(of, _softplus(z), batch.num_rows)
-            with np.errstate(over="ignore", divide="ignore"):
+            new = np.append(True, (np.diff(sentence) != 0) | (np.diff(document) != 0)) if len(sentence) else np.zeros(0, bool)
+            at = np.cumsum(new) - 1
+            of = document[new]
+            z = bias + np.bincount(at, weights[feature], len(of))
+            hazard = plain * _softplus(bias) + np.bincount(of, _softplus(z), batch.num_rows)
+            with np.errstate(over="ignore"):
                 slope = np.where(y == 1, -1 / np.expm1(np.maximum(hazard, 1e-12)), 1.0)
-            dz = slope[of] / (1 + np.exp(-np.clip(z, -500, 500)))
+            dz = slope[of] * _sigmoid(z)
             acc[:k] += np.bincount(feature, dz[at], k)
-            acc[k] += dz.sum()
+            acc[k] += dz.sum() + (slope * plain).sum() * _sigmoid(bias)
         at = np.flatnonzero(acc)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(acc[at])], names=["pos", "v"])
 
@@ -352,7 +399,7 @@ def located(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFram
         for batch in batches:
             texts, ids, rows = batch.column(1).to_pylist(), batch.column(0).to_pylist(), []
             for piece in _pieces(texts):
-                p = 1 / (1 + np.exp(-np.clip(_scored(piece, model), -500, 500)))
+                p = _sigmoid(_scored(piece, model))
                 for s in np.flatnonzero(p >= least).tolist():
                     d, a, b = int(piece.document[s]), int(piece.start[s]), int(piece.end[s])
                     rows.append((ids[d], a, b, float(p[s]), texts[d][a:b].strip()))
