@@ -9,10 +9,12 @@ from ..functions import fixed
 from ..functions.text import sql_str
 from ..operators import assign as asg
 from ..operators import dimensions as dim
+from ..operators import projections as pj
 from ..operators import workload as wl
+from ..session import written
 from ..sources import bindings as b
 from .catalog import register
-from .q_profile import BASE_SQL, base
+from .q_profile import BASE_SQL
 from .q_workload import AS_OF, WINDOW
 from .sqlfrag import canonical_expr, s_group_key, s_singular, s_strip, users_ctes, workload_ctes
 
@@ -32,10 +34,9 @@ _RCLASS_SQL = ("CASE WHEN clase <> 'sin_clasificar' THEN clase WHEN ord % 10 = 7
 
 
 def routing_tickets(spark, sf):
-    t = b.tickets(spark, sf).select("ord", "number", "u_subcategory", "category", "contact_type", "sys_created_on")
-    x = base(spark, sf).select("number", "clase", "u_subcategory_2")
-    t = t.join(x, "number")
-    return t.withColumn("rclass", routing_class(F.col("clase"), F.col("ord"), F.col("u_subcategory_2"))).drop("clase")
+    clase = pj.repair_labels(F.col("clasificacion"))
+    return b.tickets(spark, sf).select("ord", "number", "u_subcategory", "category", "contact_type", "sys_created_on", "u_subcategory_2",
+                                       routing_class(clase, F.col("ord"), F.col("u_subcategory_2")).alias("rclass"))
 
 
 _SEC = "(hour(ts) * 3600 + minute(ts) * 60 + second(ts))"
@@ -214,7 +215,7 @@ UNION ALL
 SELECT 'top' AS kind, assigned_to, n, NULL AS assignees FROM (SELECT assigned_to, count(*) AS n FROM routed GROUP BY ALL ORDER BY n DESC, assigned_to LIMIT 5)
 """)
 def q_run_summary(spark, sf):
-    r = _routed(spark, sf).cache()
+    r = written(_routed(spark, sf).select("assigned_to"), "routed")
     totals, top = asg.run_summary(r)
     a = totals.select(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("assigned_to"),
                       F.col("rows").alias("n"), F.col("assignees"))

@@ -32,9 +32,10 @@ def _padded(prefix: str, c: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(c.cast("string"), width, "0"))
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ticket per document; metadata from the event with the same id."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+def tickets(spark: SparkSession, sf_dir: str, numbers: bool = False) -> DataFrame:
+    """One ticket per document; metadata from the event with the same id.  ``numbers`` adds the numeric
+    columns of both (n_chars, value)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     e = read_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("doc_id"), "event_type", "value", "ts")
     lab = read_table(spark, sf_dir, "labels").select(
@@ -57,15 +58,13 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("toxic") == 1, "Cheques")
          .when(F.col("quality") == 1, "Cuentas")
          .otherwise("Garantías.").alias("clasificacion"),
+        *(["n_chars", "value"] if numbers else []),
     )
 
 
 def tickets_with_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets plus the numeric columns used by the profiling operators."""
-    t = tickets(spark, sf_dir)
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "n_chars")
-    e = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), "value")
-    return t.join(d, "ord", "left").join(e, "ord", "left")
+    return tickets(spark, sf_dir, numbers=True)
 
 
 def _supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import jobs
+from ..sources.committed import CommittedStore
+
 
 def drop_files(df: DataFrame, folder: str, parts: int = 4, sep: str = ";") -> None:
     """Write a frame as several delimited files (test feed for T1)."""
@@ -53,6 +56,47 @@ def run_available(spark: SparkSession, folder: str, schema, out: str, checkpoint
     return q
 
 
+def batch_run(batch_id: int) -> str:
+    return f"batch-{batch_id:09d}"
+
+
+def stream_assign(spark: SparkSession, folder: str, schema, desk: jobs.Desk, store: CommittedStore, checkpoint: str,
+                  prepare=None, scorer: jobs.Scorer | None = None, class_col: str = "Clasificación", max_files: int = 100,
+                  processing_time: str | None = None, **options):
+    """Score, route and balance every micro-batch against the state that the batches before it left.
+
+    A batch is one committed run named by its id: its sinks appear together, and a batch that is tried again
+    after a failure (T5) replaces what its first try left and reads the same state.
+    """
+    def assign(batch: DataFrame, batch_id: int) -> None:
+        run = batch_run(batch_id)
+        if not batch.isEmpty():
+            jobs.assign_incidents(batch, jobs.with_history(desk, store, run), store, run, scorer, class_col, **options)
+
+    s = ticket_stream(spark, folder, schema, max_files=max_files)
+    s = prepare(s) if prepare else s
+    w = s.writeStream.foreachBatch(assign).option("checkpointLocation", checkpoint)
+    q = (w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)).start()
+    if not processing_time:
+        q.awaitTermination()
+    return q
+
+
 def running_counts(stream_df: DataFrame, key: str = "assigned_to") -> DataFrame:
     """T4: load counters carried across micro-batches (stateful aggregation, update mode)."""
     return stream_df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_workload(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, key: str = "assigned_to"):
+    """T4: keep the counters in the state store; every micro-batch writes the counters it changed (an upsert:
+    a key's newest row counts, a retried batch replaces its own rows)."""
+    counts = running_counts(ticket_stream(spark, folder, schema), key)
+    q = counts.writeStream.outputMode("update").foreachBatch(idempotent_append(out)).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def current_counts(counters: DataFrame, key: str = "assigned_to") -> DataFrame:
+    """The newest counter of every key."""
+    return counters.groupBy(key).agg(F.max_by("n", "batch_id").alias("n"))
