@@ -7,6 +7,8 @@ columns to profile further.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -94,8 +96,38 @@ def numeric_by_class(df: DataFrame, class_col: str, value_col: str, approx: bool
                       F.col("_q")[2].alias("q3"), "max"))
 
 
+def f_tail(f: float | None, between: int, within: int) -> float | None:
+    """P(F >= f) for ``between`` and ``within`` degrees of freedom: the regularised incomplete beta function
+    I_x(within / 2, between / 2) at x = within / (within + between f), by its continued fraction."""
+    if f is None or math.isnan(f):
+        return None
+    if math.isinf(f) or f <= 0:
+        return 0.0 if f > 0 else 1.0
+    a, b, x = within / 2, between / 2, within / (within + between * f)
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x = b, a, between * f / (within + between * f)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    total = d
+    for m in range(1, 10_000):
+        for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                          -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + numerator * d
+            c = 1 + numerator / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            total *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    value = front * total
+    return 1 - value if swap else value
+
+
 def anova_by_class(df: DataFrame, class_col: str, value_col: str) -> DataFrame:
-    """One-way ANOVA F over the classes with more than one value (closed form)."""
+    """One-way ANOVA F over the classes with more than one value (closed form) and its p-value;
+    the tail is evaluated on the one result row."""
     v = F.col(value_col).cast("double")
     g = (df.filter(v.isNotNull()).groupBy(class_col)
            .agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.avg(v).alias("m"))
@@ -107,10 +139,12 @@ def anova_by_class(df: DataFrame, class_col: str, value_col: str) -> DataFrame:
     between = g.join(tot.select("gm"), how="left").agg(
         F.sum(F.col("n") * (F.col("m") - F.col("gm")) * (F.col("m") - F.col("gm"))).alias("ssb"))
     r = tot.join(within, how="left").join(between, how="left")
-    return r.select(F.lit(value_col).alias("column"), F.col("k").alias("n_classes"), F.col("N").alias("n_rows"),
+    r = r.select(F.lit(value_col).alias("column"), F.col("k").alias("n_classes"), F.col("N").alias("n_rows"),
                     F.when((F.col("k") > 1) & (F.col("N") > F.col("k")) & (F.col("ssw") > 0),
                            (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("N") - F.col("k"))))
                     .alias("f_stat"))
+    tail = F.udf(f_tail, "double")
+    return r.withColumn("p_value", tail("f_stat", F.col("n_classes") - 1, F.col("n_rows") - F.col("n_classes")))
 
 
 def informative_columns(df: DataFrame, approx: bool = False) -> DataFrame:

@@ -27,4 +27,4 @@ def register(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from . import q_workload, q_text, q_profile, q_routing, q_features, q_models, q_io, q_jobs  # noqa: F401
+    from . import q_workload, q_text, q_profile, q_routing, q_features, q_models, q_io, q_jobs, q_chain  # noqa: F401

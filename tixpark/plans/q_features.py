@@ -243,12 +243,11 @@ _PRED_SQL = _LAB_SQL + """
 def predictions(spark, sf):
     """Baseline classifier: majority class of the ticket's language on the train
     split (ties to the smaller class), global majority otherwise."""
-    s = split(spark, sf)
+    s = written(split(spark, sf).select("number", "clase", "u_subcategory_2", "part"), "split")      # read four times
     trn = s.filter("part = 'train'")
     m0 = trn.groupBy(F.col("u_subcategory_2").alias("src"), "clase").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("src").orderBy(F.desc("n"), "clase")
     m1 = m0.withColumn("r", F.row_number().over(w)).filter("r = 1").select("src", F.col("clase").alias("maj"))
-    gmaj = trn.groupBy("clase").agg(F.count(F.lit(1)).alias("n")).select(F.max_by("clase", F.struct("n", F.lit(0) - F.ascii("clase")))).scalar()
     gmaj = (trn.groupBy("clase").agg(F.count(F.lit(1)).alias("n"))
                .orderBy(F.desc("n"), "clase").limit(1).select("clase"))
     t = s.filter("part = 'test'")

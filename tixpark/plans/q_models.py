@@ -84,15 +84,43 @@ def q_svm_ovr(spark, sf):
     return _held_out(spark, sf, "svm")
 
 
+def best_k(rows, seed: int = fixed.SEED, folds: int = 5, max_k: int = nn.MAX_K) -> int:
+    """M12 on tickets: the k of best mean weighted F1 over the folds of the training rows, from one neighbour pass."""
+    train = written(ev.stratified_kfold(rows, "clase", "number", folds, seed, "g").select("number", "clase", "features", "g"), "knn-folds")
+    near = nn.nearest_sparse(train, nn.fit_index(train, "number", "features", "clase", group="g"), "number", "features", group="g", k=max_k)
+    votes = nn.vote_all(near, max_k).join(train.select(F.col("number").alias("id"), F.col("clase").alias("y"), "g"), "id")
+    counts = written(votes.groupBy("k", "g", "y", "pred").agg(F.count(F.lit(1)).alias("n")), "knn-votes")
+    tp = counts.filter("y = pred").groupBy("k", "g", F.col("y").alias("l")).agg(F.sum("n").alias("tp"))
+    sup = counts.groupBy("k", "g", F.col("y").alias("l")).agg(F.sum("n").alias("sup"))
+    pr = counts.groupBy("k", "g", F.col("pred").alias("l")).agg(F.sum("n").alias("pr"))
+    f = sup.join(tp, ["k", "g", "l"], "left").join(pr, ["k", "g", "l"], "left").fillna(0)
+    f1 = F.col("sup") * 2.0 * F.col("tp") / (F.col("sup") + F.col("pr"))
+    mean = f.groupBy("k", "g").agg((F.sum(f1) / F.sum("sup")).alias("f")).groupBy("k").agg(F.round(F.avg("f"), 9).alias("f"))
+    best = mean.orderBy(F.desc("f"), "k").first()
+    return int(best["k"]) if best else 1
+
+
+def knn_predict(rows, k: int, train):
+    """M11 on sparse ticket vectors: prediction, share of the votes as confidence, review flag."""
+    near = nn.nearest_sparse(rows, nn.fit_index(train, "number", "features", "clase"), "number", "features", k=k)
+    p = rows.join(nn.vote_share(near, k).withColumnRenamed("id", "number"), "number")
+    return p.withColumn("Confianza", F.round("share", 4)).withColumn("Requiere_revision", F.col("share") < fixed.PROBA_REVIEW_THRESHOLD) \
+        .withColumn("Modelo_usado", F.lit("knn"))
+
+
 def _compared(rows):
-    """Metrics of the models on one held-out part, and the models."""
-    out, models = None, {}
-    for name in ("lr", "rf", "svm"):
-        models[name] = _fitted(rows, name)
-        p = md.predict_with_confidence(*[models[name][0], rows.filter("part = 'test'"), models[name][1]], model_name=name)
-        m = ev.classification_metrics(ev.confusion_counts(p.select(F.col("clase").alias("y"), "pred"))).withColumn("model", F.lit(name))
+    """Metrics of kNN, random forest and logistic regression on one held-out part, and a scorer for each."""
+    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
+    k = best_k(train)
+    scorers = {"knn": lambda df: knn_predict(df, k, train)}
+    for name in ("rf", "lr"):
+        model, labels = _fitted(rows, name)
+        scorers[name] = lambda df, model=model, labels=labels, name=name: md.predict_with_confidence(model, df, labels, model_name=name)
+    out = None
+    for name, score in scorers.items():
+        m = ev.classification_metrics(ev.confusion_counts(score(test).select(F.col("clase").alias("y"), "pred"))).withColumn("model", F.lit(name))
         out = m if out is None else out.unionByName(m)
-    return written(out, "comparison"), models
+    return written(out, "comparison"), scorers
 
 
 @register("model_comparison")
@@ -105,11 +133,11 @@ SELECT number, true AS valid, true AS flag_follows FROM cdocs WHERE clase = 'sin
 """)
 def q_relabel(spark, sf):
     vectors, rows = _prepared(spark, sf)
-    scores, models = _compared(rows)
+    scores, scorers = _compared(rows)
     best = scores.orderBy(F.desc("f1_weighted"), "model").first()["model"]
-    threshold = fixed.SOFTMAX_REVIEW_THRESHOLD if best == "svm" else fixed.PROBA_REVIEW_THRESHOLD
-    model, labels = models[best]
-    r = md.predict_with_confidence(model, vectors.filter(F.col("clase") == fixed.UNCLASSIFIED), labels, threshold, best)
+    threshold = fixed.PROBA_REVIEW_THRESHOLD
+    labels = [r[0] for r in rows.select("clase").distinct().collect()]      # the label domain
+    r = scorers[best](vectors.filter(F.col("clase") == fixed.UNCLASSIFIED))
     return r.select("number", (F.col("pred").isin(labels) & F.col("Confianza").between(0, 1)).alias("valid"),
                     (F.col("Requiere_revision") == (F.col("Confianza") < threshold)).alias("flag_follows"))
 
