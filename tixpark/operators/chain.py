@@ -165,10 +165,9 @@ def _block_stages(texts: DataFrame, block: Block, n_docs: int) -> list:
             Normalizer(inputCol=weights, outputCol=block.name, p=2.0)]
 
 
-def feature_stages(train: DataFrame, text: TicketText, blocks=TERMS) -> list:
-    """Fitted stages from raw columns to ``features``; the vocabulary is that of ``train`` (number, raw columns)."""
-    texts = written(text.transform(train).select("number", "texto"), "chain-texts")
-    n_docs, stages = texts.count(), [text]
+def feature_stages(texts: DataFrame, blocks=TERMS) -> list:
+    """Fitted stages from ``texto`` to ``features``; the vocabulary is that of ``texts`` (number, texto; a written table)."""
+    n_docs, stages = texts.count(), []
     for block in blocks:
         stages += _block_stages(texts, block, n_docs)
     return [*stages, VectorAssembler(inputCols=[b.name for b in blocks], outputCol="features")]
@@ -197,9 +196,10 @@ def fit_chain(train: DataFrame, label: str, text: TicketText, blocks=TERMS, clas
     """M24 / M25 (+ S16): fit on labelled raw tickets (``number`` and the raw columns); the result scores raw exports.
 
     ``classifier``: ``lr`` on oversampled rows, ``svm`` (one-vs-rest, balanced weights), or ``svm_grid`` (M8 first)."""
-    stages = feature_stages(train, text, blocks)
-    labels = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]     # the label domain
-    x = train
+    texts = written(text.transform(train).select("number", label, "texto"), "chain-texts")     # the text steps run once
+    stages = feature_stages(texts, blocks)
+    labels = [r[0] for r in texts.select(label).distinct().orderBy(label).collect()]     # the label domain
+    x = texts
     for stage in stages:
         x = stage.transform(x)
     index = F.create_map(*[v for i, name in enumerate(labels) for v in (F.lit(name), F.lit(float(i)))])
@@ -213,7 +213,7 @@ def fit_chain(train: DataFrame, label: str, text: TicketText, blocks=TERMS, clas
     else:
         model = grid_search_c(rows, max_iter=max_iter)[0].bestModel
     names = IndexToString(inputCol="prediction", outputCol=out, labels=labels)
-    return PipelineModel([*stages, model, names, KeepColumns(working=[*_working(blocks), "features", "prediction"])])
+    return PipelineModel([text, *stages, model, names, KeepColumns(working=[*_working(blocks), "features", "prediction"])])
 
 
 def scorer(chain: PipelineModel, out: str = "Clasificación", review_empty: bool = False):
