@@ -46,6 +46,19 @@ def test_target_bytes_and_reruns(spark):
     assert first == {(r.doc_id, r.shard, r.slot) for r in sharding.sharded(docs.repartition(3), target_bytes=total // 7).collect()}
 
 
+def test_repeated_rows_are_cut_through(spark):
+    rows = corpus(1200) + [(None, "one row again and again", "en", "hot", 23, "x")] * 900
+    size = Counter()
+    for r in sharded_rows(spark, rows):
+        size[r.shard] += r["size"]
+    mean = sum(size.values()) / 40
+    assert len(size) == 40 and max(size.values()) - min(size.values()) < 0.12 * mean
+
+
+def sharded_rows(spark, rows):
+    return sharding.sharded(spark.createDataFrame(rows, SCHEMA).repartition(5), leaves=40).collect()
+
+
 def test_edge_cases(spark):
     rows = [(None, None, None, None, None, None), (1, "", "en", "a", 0, ""), (1, "", "en", "a", 0, ""), (2, "x" * 100000, "en", "a", 100000, "")]
     got = sharding.sharded(spark.createDataFrame(rows, SCHEMA), leaves=40).collect()

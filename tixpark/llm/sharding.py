@@ -16,8 +16,12 @@ a narrow written table: each round looks into the bin that holds the median.
 The driver holds the tree (one cut per inner node), nothing of the rows.
 
 Defined cases: a null text has no bytes and the checksum of no bytes; null
-metadata is a value of its own; rows equal in doc_id and text cannot be told
-apart and share a shard; fewer documents than leaves leave shards empty.
+metadata is a value of its own; rows that repeat doc_id and text are numbered
+once in a written table and that number takes the place of the doc_id's hash, so
+a cut may go through them too (which of such equal rows goes where is not told);
+fewer documents than leaves leave shards empty; an empty table gives no row;
+further columns are not read, whatever their names; a text is one point, however
+long.
 """
 
 from __future__ import annotations
@@ -135,6 +139,17 @@ def kd_leaves(points: DataFrame, leaves: int) -> DataFrame:
     return rows
 
 
+def _numbered(points: DataFrame) -> DataFrame:
+    """:func:`points` with ``copy``: 0, or for rows that repeat one another a number of their own, which then
+    makes the lowest bits of their keys."""
+    rows = materialize(points.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("copy", F.monotonically_increasing_id() + 1), "kd-rows")
+    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("h", F.lit(True).alias("_again"))
+    rows = rows.join(again, "h", "left").withColumn("copy", F.when(F.col("_again"), F.col("copy")).otherwise(F.lit(0)))
+    low = _bits(F.col("copy"), ID_BITS)
+    keys = F.when(F.col("_again"), F.transform("k", lambda k: F.shiftleft(F.shiftright(k, ID_BITS), ID_BITS) + low)).otherwise(F.col("k"))
+    return materialize(rows.select("doc_id", "size", "text_crc32", "copy", keys.alias("k")), "kd-points")
+
+
 def sharded(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"),
             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``: shards of near equal size, slots gapless from 0 in each.
@@ -142,9 +157,9 @@ def sharded(docs: DataFrame, leaves: int | None = None, target_bytes: int | None
     Give ``leaves``, or ``target_bytes`` for as many leaves as that takes.
     """
     dims = [d for d in dimensions if d in docs.columns]
-    rows = materialize(points(docs, dims, doc_id, text), "kd-points")
+    rows = _numbered(points(docs, dims, doc_id, text))
     if leaves is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         leaves = max(1, -(-total // (target_bytes or 1 << 27)))
-    placed = materialize(kd_leaves(rows, leaves).select("doc_id", "size", "text_crc32", F.col("node").alias("shard")), "kd-placed")
-    return running_total(placed, ["shard"], ["doc_id", "text_crc32", "size"], F.lit(1), "slot", buckets_for(placed.count()))
+    placed = materialize(kd_leaves(rows, leaves).select("doc_id", "size", "text_crc32", "copy", F.col("node").alias("shard")), "kd-placed")
+    return running_total(placed, ["shard"], ["doc_id", "text_crc32", "size", "copy"], F.lit(1), "slot", buckets_for(placed.count())).drop("copy")
