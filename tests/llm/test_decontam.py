@@ -85,3 +85,12 @@ def test_separated_documents_do_not_make_a_match():
     half = len(item) // 2
     assert decontam.find_all(index, [item[:half], item[half:]]) == []
     assert [(r, e) for r, _, e, _, _ in decontam.find_all(index, ["", item, item + " more"])] == [(1, 0), (2, 0)]
+
+
+def test_items_longer_than_a_window(monkeypatch):
+    rng = random.Random(8)
+    item, other = words(rng, 400), words(rng, 900)
+    monkeypatch.setattr(decontam, "WINDOW", 500)      # the item alone is several windows long
+    index = decontam.Index([(1, decontam.normal(item))])
+    found = decontam.find_all(index, [other + " " + item + " " + other, other, item])
+    assert {(r, i) for r, i, *_ in found} == {(0, 0), (2, 0)}

@@ -152,20 +152,20 @@ def aligned(item: str, text: str, lo: int, hi: int, k: int) -> int:
 
 
 def _windows(texts: list[tuple[int, str]], overlap: int) -> Iterator[list[tuple[int, int, str]]]:
-    """Groups of (row, offset, part) of about WINDOW characters."""
-    group, size = [], 0
+    """Groups of (row, offset, part) of about WINDOW characters, more where an item is long: a window is four overlaps at least."""
+    group, size, window = [], 0, max(WINDOW, 4 * overlap)
     for row, text in texts:
         at = 0
         while True:
-            part = text[at:at + WINDOW]
+            part = text[at:at + window]
             group.append((row, at, part))
             size += len(part)
-            if size >= WINDOW:
+            if size >= window:
                 yield group
                 group, size = [], 0
-            if at + WINDOW >= len(text):
+            if at + window >= len(text):
                 break
-            at += WINDOW - overlap
+            at += window - overlap
     if group:
         yield group
 
