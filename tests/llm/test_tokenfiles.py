@@ -30,6 +30,15 @@ def test_words_remembered_give_the_same_ids(direct, monkeypatch):
             assert np.frombuffer(raw, "<u4").tolist() == direct(t), t
 
 
+def test_every_letter_before_a_mark(direct):
+    """All code points that Python calls letters, followed by marks."""
+    texts = [f"a{chr(c)}{m} b" for c in range(0x80, 0x110000) if chr(c).isalpha() for m in "?;"]
+    encoder = tokenfiles.Encoder(tokenizer_path())
+    want = Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, raw, e in zip(texts, encoder.encode(texts), want) if np.frombuffer(raw, "<u4").tolist() != e.ids]
+    assert not wrong, wrong[:20]
+
+
 def rows_of(direct, docs):
     return {i: direct(t) + [2] for i, t in docs}
 

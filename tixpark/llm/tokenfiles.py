@@ -10,8 +10,8 @@ encodes its documents and writes one file.  Layout (little-endian):
 
 A short document is read with one seek: its index entry, its frame and the
 dictionary, whose hash every file repeats.  The dictionary is trained on the
-serialised ids of a bounded sample: the ``SAMPLE_DOCS`` documents of smallest
-hash among those of at most ``SAMPLE_CHARS`` characters (a dictionary is for
+serialised ids of a bounded sample: about ``SAMPLE_DOCS`` documents, by
+hash, among those of at most ``SAMPLE_CHARS`` characters (a dictionary is for
 short documents).  Everything else covers all rows.
 
 Ids come from the tokenizers library.  A word never merges with its neighbours
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -50,6 +51,8 @@ MAGIC = b"TIDS0001"
 ENTRY = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4"), ("packed", "u1")])
 TRAILER = "<QQQ8s"
 TRAILER_BYTES = struct.calcsize(TRAILER)
+#: Bytes of text that a file takes at most, about.
+FILE_BYTES = 64 << 20
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 20_000, 65_536, 1
 MEMO_WORDS = 400_000
 #: Characters of texts whose words are looked up together.
@@ -100,6 +103,13 @@ class _Memory:
         return unknown
 
 
+def _ends_with_letter(word: str) -> bool:
+    """Whether the word ends with a letter also after the tokenizer's normal form and lower case: some letters
+    become a letter and a mark, which the marks behind them would join."""
+    last = word[-1]
+    return last.isalpha() and (last.isascii() or unicodedata.normalize("NFC", unicodedata.normalize("NFC", last).lower())[-1].isalpha())
+
+
 class Encoder:
     """Whole texts to serialised ids (uint32), with a bounded memory of words."""
 
@@ -126,7 +136,7 @@ class Encoder:
         cores, tails = [], []
         for w in unknown:
             core = w.rstrip(MARKS)
-            if not core or not core[-1].isalpha():
+            if not core or not _ends_with_letter(core):
                 core = w
             tails.append(w[len(core):])
             # below U+0100 lower case is one letter for one, wherever it stands
@@ -192,8 +202,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
     """A zstandard dictionary from the ids of a bounded sample (empty where there is too little to learn from)."""
     small_batches(docs.sparkSession)
     length = F.length(F.col(text))
+    rows = max(docs.count(), 1)
+    # a cut through the hashes, not a sort: each task keeps its few rows; equal rows count once
+    cut = (1 << 32) if rows <= SAMPLE_DOCS else (1 << 32) * SAMPLE_DOCS // rows
     sample = (docs.filter((length > 0) & (length <= SAMPLE_CHARS)).select(F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
-              .orderBy("h").limit(SAMPLE_DOCS).select("text"))
+              .filter(F.pmod("h", F.lit(1 << 32)) < cut).groupBy("h").agg(F.first("text").alias("text")).select("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         samples = [raw for b in batches for raw in encoder_for(tokenizer_path).encode(list(b["text"]))]
@@ -260,7 +273,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, do
                             "bytes": [offset + index.nbytes + TRAILER_BYTES]})
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("_t", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     ordered = d.repartitionByRange(n, "doc_id", "_t").sortWithinPartitions("doc_id", "_t").select("doc_id", "text")
     return materialize(ordered.mapInPandas(run, _MANIFEST), "tids-manifest")
 
@@ -270,7 +284,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     # one file per task or so
-    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    files = files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count()), "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source, at = place(folder)
