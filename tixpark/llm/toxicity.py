@@ -39,8 +39,9 @@ from .common import materialize, small_batches
 
 GRAMS = (4, 6)
 BUCKET_BITS = 20
-#: Buckets looked into, and grams kept, by falling G; the least G of a kept gram.
-CANDIDATES, FEATURES, LEAST_G = 16_384, 4096, 15.0
+#: Buckets looked into, and grams kept, by falling G; the least G of a kept gram, and how many times as common it
+#: must be in toxic documents as in clean ones (half as many for a bucket, where others share it).
+CANDIDATES, FEATURES, LEAST_G, LEAST_RATIO = 16_384, 4096, 15.0, 4.0
 #: Gradient passes, the weights' penalty, and the score from which a document or sentence is called toxic.
 PASSES, PENALTY, THRESHOLD = 40, 0.5, 0.3
 #: Labelled documents that are broadcast as (id, label); more are joined by a shuffle.
@@ -269,8 +270,10 @@ def _counts(train: DataFrame, buckets: np.ndarray | None) -> DataFrame:
     return train.select("text", "y").mapInArrow(work, "k long, pos long, neg long").groupBy("k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _best(counts: DataFrame, toxic: int, clean: int, top: int) -> np.ndarray:
-    """The ``top`` keys that are commoner in toxic documents, by falling G; ties by key."""
+def _best(counts: DataFrame, toxic: int, clean: int, top: int, ratio: float) -> np.ndarray:
+    """The ``top`` keys that are ``ratio`` times as common in toxic documents as in clean ones, by falling G; ties by key.
+
+    G alone grows with the corpus: weakly tied common grams would fill the model and every document's bag."""
     pos, neg = F.col("pos"), F.col("neg")
     share = (pos + neg) / F.lit(float(toxic + clean))
 
@@ -282,7 +285,7 @@ def _best(counts: DataFrame, toxic: int, clean: int, top: int) -> np.ndarray:
         return F.when(left > 0, left * F.log(left / (F.lit(float(of)) * (1 - share)))).otherwise(0.0)
 
     g = 2 * (part(pos, toxic) + part(neg, clean) + rest(pos, toxic) + rest(neg, clean))
-    rows = counts.where(pos * clean > neg * toxic).withColumn("g", g).where(F.col("g") >= LEAST_G) \
+    rows = counts.where(pos * clean > ratio * neg * toxic).withColumn("g", g).where(F.col("g") >= LEAST_G) \
         .orderBy(F.desc("g"), "k").limit(top).select("k").collect()
     return np.array(sorted(r.k for r in rows), dtype=np.int64)
 
@@ -356,9 +359,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(none.astype(np.int64), none, -1000.0)
     grams = none.astype(np.int64)
     if clean:
-        buckets = _best(_counts(train, None), toxic, clean, CANDIDATES)
+        buckets = _best(_counts(train, None), toxic, clean, CANDIDATES, LEAST_RATIO / 2)
         if len(buckets):
-            grams = _best(_counts(train, buckets), toxic, clean, FEATURES)
+            grams = _best(_counts(train, buckets), toxic, clean, FEATURES, LEAST_RATIO)
     weights, bias = np.full(len(grams), 0.2), -4.0
     if not len(grams):
         return Model(grams, weights, float(np.log(max(toxic, 1) / max(clean, 1))) - 2.0)
