@@ -3,19 +3,29 @@
 A page is read into a light tree.  Every paragraph gives points to its
 ancestors: one, one for each comma, and one for each hundred characters up to
 three; its parent gets all of them, its grandparent half, those above less and
-less.  A container's points are discounted by its link density.  The best
-container is kept, with siblings that score well themselves or read like
-paragraphs; what is no article text in it (menus, notices, adverts, forms,
-reader comments and the like, known by tag, role, class and id) is left out
-before anything is scored.
+less, ``LEVELS`` up.  A container's points are discounted by its link density.
+The best container is kept, with siblings that score well themselves or read
+like paragraphs.
+
+What is no article text (menus, notices, adverts, forms, reader comments and the
+like) is known by tag, role, class and id.  A plain name (``sidebar``,
+``cookie-notice``) leaves its element out.  Names of states (``no-sidebar``,
+``comments-open``) say nothing.  Where names disagree (``post sidebar``), where
+they are vague (``shop``, ``related``) and for forms the scores decide: the
+element stays if it holds more than half of the page's points.  A paragraph
+inside an article goes only by the few names of ``STRICT``.  A header inside an
+article keeps its headings.
 
 The text of a page is its blocks in page order.  Character references are
 decoded; inside a block white space becomes one blank; blocks are joined by one.
 
 Defined cases: a null or empty page, or one without text, gives the empty
 string; unclosed and stray tags are read as browsers do (a new paragraph ends
-the last, a list item its predecessor); a page without any tags is one block;
-unknown columns are ignored.  Nothing is cut, however long the page is.
+the last, a list item its predecessor); a quote that is never closed is part of
+the value it begins, a tag that is never closed is no text; a page without any
+tags is one block; pages that repeat are worked on one by one; unknown columns
+are ignored.  Nothing is cut, however long the page is, and the time grows with
+its length whatever its markup.
 """
 
 from __future__ import annotations
@@ -23,6 +33,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,98 +46,216 @@ RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
           "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-DROPPED = RAW | {"nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "dialog", "menu", "object", "embed", "svg",
-                 "canvas", "audio", "video", "map", "head", "math"}
+OUT = RAW | {"nav", "header", "footer", "aside", "button", "select", "option", "input", "dialog", "menu", "object", "embed", "svg",
+             "canvas", "audio", "video", "map", "head", "math"}
+#: Elements in a line of text that do not end its word or block.
+IN_LINE = INLINE | (RAW - {"title", "xmp"}) | {"img", "picture", "source", "track", "link", "meta", "param", "object", "embed", "svg", "math", "canvas",
+                                               "audio", "video", "map", "area", "input", "button", "select"}
 CLOSES_PARAGRAPH = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure",
                     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
                     "table", "ul"}
 SAME_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
              "option": {"select"}}
-PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words in class, id or role that mark what is no article text.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|"
-    r"disqus|discussion|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|"
-    r"promo|promoted|promotion|recommended|related|replies|respond|rss|search|share|sharing|shop|sidebar|signup|skyscraper|social|sponsor|"
-    r"sponsored|subscribe|subscription|tags|toolbar|widget|complementary|contentinfo|alert|alertdialog)(?:$|[\s_-])", re.I)
-#: Words that tell an article's own container from the above.
-ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
-
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd"} | HEADINGS
+#: Names in class, id or role of what is no article text.
+FIRM = frozenset("""ad ads adv advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment commentlist comments
+complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar nav navbar navigation newsletter notice notices
+pagination sidebar skyscraper sponsor sponsored""".split())
+#: Names that may also stand on what holds the article; the scores decide.
+VAGUE = frozenset("""discussion login modal pager popup promo promoted promotion recommended related replies respond rss search share sharing shop signup
+social subscribe subscription tags toolbar widget""".split())
+#: Names that leave out a paragraph inside an article.
+STRICT = frozenset("""ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie cookies newsletter promo share sharing social sponsored
+subscribe tags""".split())
+#: Names of an article's own container.
+ARTICLE = frozenset("article articlebody body content entry hentry main post story text".split())
+#: Parts that make a name one of a state or a layout.
+STATES = frozenset("""no not non has have with without is hide show open closed on off free enabled disabled enable disable allowed layout count
+active""".split())
+#: How far above its parent's parent and so on a paragraph's points are felt.
+LEVELS = 8
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PARTS = re.compile(r"[-_]+")
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
+_END_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+
+#: An element is article text as far as its names say; is for the scores to decide; is out.
+KEEP, DOUBT, DROP = 0, 1, 2
+
+
+@lru_cache(100_000)
+def judged(kind: str, names: str) -> tuple[int, bool]:
+    """(verdict, names an article's container) for the names of an element: ``kind`` is p (a paragraph), a (article or main) or empty."""
+    firm = vague = article = False
+    for name in names.split():
+        parts = [x for x in _PARTS.split(_CAMEL.sub("-", name).lower()) if x]
+        if not parts or not STATES.isdisjoint(parts):
+            continue
+        if kind:
+            firm |= "".join(parts) in STRICT
+            continue
+        ends = {parts[0], parts[-1]}
+        if parts[-1] == "header" and parts[0] in ("article", "entry", "hentry", "post", "story"):
+            continue
+        firm |= not FIRM.isdisjoint(ends)
+        vague |= not VAGUE.isdisjoint(ends)
+        article |= not ARTICLE.isdisjoint(parts) and FIRM.isdisjoint(parts) and VAGUE.isdisjoint(parts)
+    if kind:
+        return (DROP if firm else KEEP), kind == "a"
+    return (DOUBT if article else DROP) if firm else (DOUBT if vague and not article else KEEP), article
 
 
 class Element:
     """A tag with its children (elements, strings) and its points."""
 
-    __slots__ = ("tag", "parent", "children", "dropped", "article", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "verdict", "named", "article", "points", "mass", "paragraphs", "chars", "linked")
 
-    def __init__(self, tag: str, parent: "Element | None", attributes: str = ""):
+    def __init__(self, tag: str, parent: "Element | None", attributes: dict[str, str] | None = None, inner: bool = False):
         self.tag, self.parent, self.children = tag, parent, []
-        self.points, self.chars, self.linked = 0.0, 0, 0
-        self.dropped, self.article = tag in DROPPED, tag in ("article", "main")
-        if attributes and not self.dropped:
-            named = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
-            names = " ".join(named.get(k, "") for k in ("class", "id", "role"))
-            self.article |= bool(ARTICLE.search(names))
-            hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
-            self.dropped = hidden or tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(names))
+        self.points, self.mass, self.paragraphs, self.chars, self.linked = 0.0, 0.0, 0, 0, 0
+        self.article = tag in ("article", "main")
+        self.named = False  # out by its names alone
+        self.verdict = DROP if tag in OUT and not inner else DOUBT if tag == "form" else KEEP
+        if attributes and self.verdict != DROP:
+            a = attributes
+            hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+            style = "".join(a.get("style", "").lower().split())
+            if hidden or "display:none" in style or "visibility:hidden" in style:
+                self.verdict = DROP
+            elif tag not in ("html", "body"):
+                names = " ".join(filter(None, (a.get("class"), a.get("id"), a.get("role"))))
+                if names and not (inner and tag == "header"):
+                    verdict, article = judged("a" if self.article else "p" if tag in PARAGRAPHS else "", names)
+                    self.article |= article
+                    self.named = verdict == DROP
+                    self.verdict = max(self.verdict, verdict)
+        self.dropped = self.verdict == DROP
+
+
+class Tree:
+    """The open elements of a page that is being read, found by tag without walking up."""
+
+    def __init__(self):
+        self.root = Element("#root", None)
+        self.path = [self.root]
+        self.open: dict[str, list[int]] = {}  # tag -> places in path
+        self.blocks = [0]  # places of open elements that are no inline ones
+
+    def last(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def cut(self, place: int) -> None:
+        """End the element at ``place`` and all in it."""
+        while len(self.path) > place:
+            e = self.path.pop()
+            self.open[e.tag].pop()
+            if self.blocks[-1] == len(self.path):
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        place = self.last((tag,))
+        if place > 0 and not (tag in INLINE and place < self.blocks[-1]):  # an inline end tag does not end a block
+            self.cut(place)
+
+    def begin(self, tag: str, attributes: dict[str, str], holds: bool) -> None:
+        if tag in CLOSES_PARAGRAPH:
+            if self.path[self.blocks[-1]].tag == "p":
+                self.cut(self.blocks[-1])
+        elif tag in SAME_ENDS:
+            same = self.last((tag, {"dt": "dd", "dd": "dt", "td": "th", "th": "td"}.get(tag, tag)))
+            if same > 0 and same > self.last(SAME_ENDS[tag]):
+                self.cut(same)
+        e = Element(tag, self.path[-1], attributes, tag == "header" and bool(self.open.get("article")))
+        self.path[-1].children.append(e)
+        if holds:
+            self.open.setdefault(tag, []).append(len(self.path))
+            if tag not in INLINE:
+                self.blocks.append(len(self.path))
+            self.path.append(e)
+
+    def text(self, text: str) -> None:
+        header = self.last(("header",))
+        if header > 0 and self.last(HEADINGS) < header:
+            text = " "  # a header inside an article keeps its headings; any other is left out whole
+        self.path[-1].children.append(text)
+
+
+def _decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    if "&#0" in text or "&#x0" in text or "&#X0" in text:
+        text = re.sub(r"&#([xX]?)0+(?=[0-9a-fA-F])", r"&#\1", text)
+    return html.unescape(_LONG_REFERENCE.sub("\ufffd", text) if "&#" in text else text)
 
 
 def parse(page: str) -> Element:
-    root = here = Element("#root", None)
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        text = page[at:m.start() if m else n]
-        if text:
-            here.children.append(html.unescape(text) if "&" in text else text)
-        if not m:
+    """The tree of a page.  Each character is looked at a bounded number of times."""
+    tree, at, n = Tree(), 0, len(page)
+    unclosed: set[str] = set()  # quotes that do not occur any more
+    begun = 0  # where the text that is not yet in the tree begins
+    while True:
+        tag_at = page.find("<", at)
+        if tag_at < 0 or tag_at + 1 >= n:
             break
-        at = m.end()
-        if m[2] is None:
+        c = page[tag_at + 1]
+        ends = c == "/"
+        name = _NAME.match(page, tag_at + 1 + ends)
+        if not name and not (c in "!?" or ends):
+            at = tag_at + 1  # a plain less-than sign
             continue
-        tag = m[2].lower()
-        if m[1]:
-            here = _closed(here, tag)
+        if begun < tag_at:
+            tree.text(_decoded(page[begun:tag_at]))
+        if not name:
+            comment = page.startswith("<!--", tag_at)
+            close = page.find("-->" if comment else ">", tag_at + 2)
+            at = begun = n if close < 0 else close + (3 if comment else 1)
             continue
-        here = _room_for(here, tag)
-        child = Element(tag, here, m[3])
-        here.children.append(child)
+        tag, at = name[0].lower(), name.end()
+        attributes: dict[str, str] = {}
+        slash = False
+        while at < n and page[at] != ">":
+            gap = _GAP.match(page, at).end()
+            slash, at = page[gap - 1] == "/" and gap > at, gap
+            if at >= n or page[at] == ">":
+                break
+            key = _KEY.match(page, at)
+            equals = _EQUALS.match(page, key.end())
+            slash, at, value = False, key.end(), ""
+            if equals:
+                at = equals.end()
+                quote = page[at:at + 1]
+                close = -1
+                if quote in ("'", '"') and quote not in unclosed:
+                    close = page.find(quote, at + 1)
+                    if close < 0:
+                        unclosed.add(quote)
+                if close >= 0:
+                    value, at = page[at + 1:close], close + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            attributes.setdefault(key[0].lower(), _decoded(value))
+        if at >= n:
+            begun = n  # a tag that is never closed
+            break
+        at = begun = at + 1
+        if ends and tag != "br":
+            tree.end(tag)
+            continue
+        tree.begin(tag, attributes, tag not in RAW and tag not in VOID and not (slash and tag in OUT))
         if tag in RAW:
-            end = _END_RAW[tag].search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            here = child
-    return root
-
-
-def _closed(here: Element, tag: str) -> Element:
-    """Where the reader is after an end tag: above the nearest such element, if one is open."""
-    e = here
-    while e is not None and e.tag != tag:
-        if tag in INLINE and e.tag not in INLINE:  # an inline end tag does not end a block
-            return here
-        e = e.parent
-    return e.parent if e is not None and e.parent is not None else here
-
-
-def _room_for(here: Element, tag: str) -> Element:
-    """Where a new element goes: paragraphs and list items end by what follows them."""
-    if tag in CLOSES_PARAGRAPH:
-        e = here
-        while e is not None and (e.tag in INLINE or e.tag == "p"):
-            if e.tag == "p":
-                return e.parent or here
-            e = e.parent
-    elif tag in SAME_ENDS:
-        e = here
-        while e is not None and e.tag not in SAME_ENDS[tag]:
-            if e.tag == tag or (tag, e.tag) in (("dt", "dd"), ("dd", "dt"), ("td", "th"), ("th", "td")):
-                return e.parent or here
-            e = e.parent
-    return here
+            close = _END_RAW[tag].search(page, at)
+            at = begun = close.start() if close else n
+    if begun < n:
+        tree.text(_decoded(page[begun:]))
+    return tree.root
 
 
 def _walk(root: Element) -> Iterator[tuple[Element, bool]]:
@@ -149,15 +278,16 @@ def _own_text(e: Element) -> str:
             out.append(x)
         elif x is e or x.tag in INLINE and not x.dropped:
             stack.extend(reversed(x.children))
-        else:
+        elif x.tag not in IN_LINE:
             out.append(" ")
     return " ".join("".join(out).split())
 
 
 def score(root: Element) -> None:
-    """Set points, characters and linked characters of every kept element."""
+    """Set points, characters and linked characters of every kept element, and the points of the paragraphs in it."""
     for e, begins in _walk(root):
         if begins:
+            e.points, e.mass, e.paragraphs, e.chars, e.linked = 0.0, 0.0, 0, 0, 0
             continue
         for c in e.children:
             if isinstance(c, str):
@@ -166,18 +296,45 @@ def score(root: Element) -> None:
             elif not c.dropped:
                 e.chars += c.chars
                 e.linked += c.chars if c.tag == "a" else c.linked
+                e.mass += c.mass
+                e.paragraphs += c.paragraphs
         if e.tag in INLINE or e.parent is None:
             continue
         words = _own_text(e)
         if len(words) >= 25 or e.tag in PARAGRAPHS and words:
             points = 1.0 + words.count(",") + words.count("،") + words.count("、") + min(len(words) // 100, 3)
+            e.mass += points * (1 - _density(e))
+            e.paragraphs += 1
             up, share = (e.parent if e.tag in PARAGRAPHS else e), 1.0
-            depth = 0
-            while up is not None:
+            for depth in range(1, LEVELS + 1):
                 up.points += points * share
-                depth += 1
                 share = 0.5 if depth == 1 else 0.5 / (depth * 1.5)
                 up = up.parent
+                if up is None:
+                    break
+
+
+def settle(root: Element) -> None:
+    """Leave out the doubtful elements that do not hold more than half of the page's points; a form has to hold three paragraphs as well."""
+    score(root)
+    out = [e for e, begins in _walk(root) if begins and e.verdict == DOUBT
+           and not (e.mass > 0.5 * root.mass and (e.tag != "form" or e.paragraphs >= 3))]
+    for e in out:
+        e.dropped = True
+    if out:
+        score(root)
+
+
+def _holders(root: Element) -> list[Element]:
+    """Elements left out by name that hold an article or main element."""
+    found, stack = [], [(root, None)]
+    while stack:
+        e, holder = stack.pop()
+        holder = holder or (e if e.named else None)
+        if holder is not None and e.tag in ("article", "main") and not e.named:
+            found.append(holder)
+        stack.extend((c, holder) for c in e.children if isinstance(c, Element) and (not c.dropped or c.named))
+    return found
 
 
 def _density(e: Element) -> float:
@@ -188,7 +345,16 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    score(root)
+    text = _kept_text(root)
+    if not text and (holders := _holders(root)):  # a name on a wrapper of the whole page
+        for e in holders:
+            e.dropped = False
+        text = _kept_text(root)
+    return text
+
+
+def _kept_text(root: Element) -> str:
+    settle(root)
     best, best_value = root, -1.0
     for e, begins in _walk(root):
         if begins and e.tag not in INLINE and e.tag not in PARAGRAPHS - {"td", "blockquote"}:
@@ -222,7 +388,7 @@ def _blocks(top: Element) -> Iterator[str]:
     stack: list[Element | str | None] = [top]
     while stack:
         x = stack.pop()
-        if x is None or isinstance(x, Element) and x.tag not in INLINE:
+        if x is None or isinstance(x, Element) and x.tag not in IN_LINE:
             block = " ".join("".join(words).split())
             if block:
                 yield block
@@ -230,7 +396,7 @@ def _blocks(top: Element) -> Iterator[str]:
         if isinstance(x, str):
             words.append(x)
         elif isinstance(x, Element) and not x.dropped:
-            if x.tag not in INLINE:
+            if x.tag not in IN_LINE:
                 stack.append(None)
             stack.extend(reversed(x.children))
     block = " ".join("".join(words).split())
