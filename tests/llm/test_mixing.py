@@ -103,3 +103,25 @@ def test_slots_follow_the_draws(spark):
         assert not times or max(times.values()) - min(times[b] for b in range(blocks)) <= 1
     sizes = Counter(r.shard for r in got)
     assert abs(max(sizes.values()) - 64) <= 24
+
+
+def test_thousands_of_equal_rows(spark):
+    rows = [(i % 3 or None, "the same words of a row " * 5, "hot") for i in range(6000)] + [(10 + i, f"other words {i} " * 20, f"s{i}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken, out = mixing.taken(docs, block=16).collect(), mixing.mixed(docs, block=16).collect()
+    assert len(taken) == len(rows)
+    assert sum(r.taken for r in taken) == sum(len(WORD.findall(r.text)) for r in out) > 0
+    assert all(r.taken <= 3 * r.size for r in taken)
+    per = Counter((r.doc_id, r.source) for r in out)
+    assert all(n <= 3 * m for n, m in ((per[k], Counter((d, s) for d, _, s in rows)[k]) for k in per))
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["_tie", "_words", "_id", "_nth", "_place", "row", "body", "copy", "spans", "whole", "words", "size", "a.b", "code"]
+    rows = [(i, f"d{i} " * (20 + i), "s", 1, *[f"{n}{i}" for n in names]) for i in range(20)]
+    schema = "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    out = mixing.mixed(spark.createDataFrame(rows, schema), block=16)
+    assert out.columns == ["doc_id", "text", "source", "n_chars", *names]
+    got = out.collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names) and all(r.n_chars == len(r.text) for r in got)
+    assert all(set(r.text.split()) == {f"d{r.doc_id}"} for r in got)

@@ -16,8 +16,10 @@ Nothing random but hashes of seeds and indexes: reruns agree.
 
 Defined cases: null and blank texts have size 0 and are never taken; a null
 source is a source of its own, last in order; a source of size 0 has target 0;
-an empty table gives an empty mix; repeated rows are further documents; rows
-equal in every way get their places in either order, which changes no result.
+an empty table gives an empty mix; repeated rows are further documents, numbered
+once in a written table, so that any number of them is spread; of rows equal in
+doc_id, source and text, which takes which place is open; other columns, whatever
+their names, are carried as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buckets_for, materialize, running_total
@@ -35,14 +37,15 @@ from .common import buckets_for, materialize, running_total
 BLOCK, SHARD_SLOTS, MAX_EPOCHS, SEED = 128, 2048, 3, 17
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, source, size`` and a hash of the text that breaks ties."""
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: Column | None = None) -> DataFrame:
+    """``row, doc_id, source, size`` and a hash of the text that breaks ties; rows are numbered, unless ``row`` is their number."""
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), t.alias("t"))
-    d = d.select("doc_id", "source", "t", F.split("t", r"[\x20\x09-\x0D]+").alias("cut"))
+    row = F.monotonically_increasing_id() if row is None else row
+    d = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), t.alias("t"))
+    d = d.select("row", "doc_id", "source", "t", F.split("t", r"[\x20\x09-\x0D]+").alias("cut"))
     # blanks at either end leave an empty part there
     size = F.size("cut") - (F.col("cut")[0] == "").cast("int") - ((F.size("cut") > 1) & (F.element_at("cut", -1) == "")).cast("int")
-    return d.select("doc_id", "source", size.cast("long").alias("size"), F.xxhash64("t").alias("tie"))
+    return d.select("row", "doc_id", "source", size.cast("long").alias("size"), F.xxhash64("t").alias("tie"))
 
 
 def targets(sources: DataFrame, cycle: int = 3, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -74,19 +77,24 @@ def planned(sources: DataFrame, block: int) -> DataFrame:
 
 
 def packed(rows: DataFrame, sources: DataFrame, block: int) -> DataFrame:
-    """The packed blocks as pieces: ``code, block, doc_id, start, size, from, upto`` (words of the document in the block).
+    """The packed blocks as pieces: ``code, block, row, doc_id, start, size, from, upto`` (words of the document in the block).
 
-    A document without words has one row with a null block.
+    A document without words has one row with a null block.  Repeated rows are
+    told apart by their number ``nth`` among themselves, so the stream does not
+    depend on how the table is split.
     """
     coded = rows.join(sources.select(F.col("source").alias("_s"), "code"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
-    coded = materialize(coded, "mix-sized")
-    placed = running_total(coded, ["code"], ["doc_id", "tie", "size"], F.col("size"), "start", buckets_for(coded.count()))
+    coded = materialize(coded.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "mix-coded")
+    buckets = buckets_for(coded.count())
+    numbered = running_total(coded, ["code", "id", "tie"], ["row"], F.lit(1), "nth", buckets)
+    coded = materialize(numbered.drop("id"), "mix-sized")
+    placed = running_total(coded, ["code"], ["doc_id", "tie", "nth"], F.col("size"), "start", buckets)
     last = F.when(F.col("size") > 0, F.floor((F.col("start") + F.col("size") - 1) / block))
     first = F.when(F.col("size") > 0, F.floor(F.col("start") / block))
     p = placed.withColumn("block", F.explode_outer(F.sequence(first, last)))
     begin = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
-    return p.select("code", "block", "doc_id", "tie", "start", "size", begin.alias("from"), end.alias("upto"))
+    return p.select("code", "block", "row", "doc_id", "start", "size", begin.alias("from"), end.alias("upto"))
 
 
 def drawn(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -158,9 +166,9 @@ def mapped(slots: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED,
-        doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+        doc_id: str = "doc_id", text: str = "text", source: str = "source", row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources with their targets, packed pieces, slots of the mix with their blocks)."""
-    rows = materialize(sized(docs, doc_id, text, source), "mix-rows")
+    rows = materialize(sized(docs, doc_id, text, source, row), "mix-rows")
     sources = materialize(planned(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), block), "mix-sources")
     return sources, packed(rows, sources, block), mapped(drawn(sources, shard_slots, seed), sources, seed)
 
@@ -176,9 +184,7 @@ def taken(docs: DataFrame, block: int = BLOCK, **columns) -> DataFrame:
     sources, pieces, slots = mix(docs, block, **columns)
     p = _taken_pieces(pieces, slots)
     words = F.coalesce((F.col("upto") - F.col("from")) * F.col("times"), F.lit(0))
-    # rows of no words may share a start; count them apart by all they have
-    per = p.groupBy("code", "start", "doc_id", "tie", "size").agg(F.sum(words).alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("empties"))
-    per = per.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("empties"), F.lit(1)))))
+    per = p.groupBy("row").agg(*[F.first(c).alias(c) for c in ("code", "doc_id", "size")], F.sum(words).alias("taken"))
     return per.join(sources, "code").select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
@@ -190,23 +196,18 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     often as the mix takes it.  ``n_chars`` (where it exists) is that of the
     new text.  Documents of which nothing is taken have no row.
     """
-    _, pieces, slots = mix(docs, block, seed=seed)
+    body = F.struct(*[F.col("`" + n.replace("`", "``") + "`").alias(n) for n in docs.columns])
+    kept = materialize(docs.select(F.monotonically_increasing_id().alias("row"), body.alias("body")), "mix-docs")
+    _, pieces, slots = mix(kept.select("row", "body.doc_id", "body.text", "body.source"), block, seed=seed, row=F.col("row"))
     p = _taken_pieces(pieces, slots).filter("times > 0")
     p = p.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    spans = p.groupBy("code", "start", "doc_id", "tie", "size", "copy").agg(
-        F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("spans"), (F.sum(F.col("upto") - F.col("from")) == F.col("size")).alias("whole"))
-    # rows that repeat a document share its key; the n-th of them takes the n-th of its places
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("tie").alias("_tie")]
-    spans = spans.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "tie").orderBy("code", "start")))
-    spans = spans.groupBy(*key).agg(F.collect_list(F.struct("nth", "copy", "whole", "spans")).alias("_places"))
-    names = docs.columns
-    d = docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))) \
-        .withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(spans, ["_id", "_tie"])
-    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_tie")))
-    d = d.withColumn("_place", F.explode(F.expr("filter(_places, x -> x.nth = _nth)"))).drop("_places")
-    d = d.withColumn("_words", F.when(~F.col("_place.whole"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"))))
-    d = d.withColumn("text", F.expr("CASE WHEN _place.whole THEN text ELSE "
-                                    "array_join(transform(_place.spans, s -> array_join(slice(_words, CAST(s.from + 1 AS INT), CAST(s.upto - s.from AS INT)), '')), '') END"))
-    if "n_chars" in names:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*[F.col(c) for c in names])
+    spans = p.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("spans"),
+                                         (F.sum(F.col("upto") - F.col("from")) == F.first("size")).alias("whole"))
+    d = kept.join(spans, "row").withColumn("text", F.col("body.text"))
+    d = d.withColumn("words", F.when(~F.col("whole"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"))))
+    d = d.withColumn("text", F.expr("CASE WHEN whole THEN text ELSE "
+                                    "array_join(transform(spans, s -> array_join(slice(words, CAST(s.from + 1 AS INT), CAST(s.upto - s.from AS INT)), '')), '') END"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return d.select(*[new.get(n, F.col("body").getField(n)).alias(n) for n in docs.columns])
