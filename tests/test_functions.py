@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,26 @@ def test_fold_ascii_latin1(spark):
     assert out == ["14 12 a o  n A", "Garantias."]
 
 
+#: Greek with stacked marks, Cyrillic, Vietnamese, Hangul letters, full-width forms, ligatures, units, marks out of order.
+SCRIPTS = ["\u0391\u0301\u0345 \u1f80", "\u0418\u0306 \u0439 \u0401", "Vie\u0323\u0302t Na\u0300m ti\u1ebfng", "\u1112\u1161\u11ab\u1100\u1173\u11af \ud55c",
+           "\uff21\uff22\uff23\u3000\uff11\uff12", "\ufb01n \u2460 \u247d \u33a5 \u2122", "a\u0301\u0323 a\u0323\u0301", "\u2003wide\u2028blank\u00a0", "\U0001d400\U0001d7d8 x",
+           "plain", "Garant\u00edas \u00bd \u00aa", "", " \t "]
+
+
+def test_normal_forms_of_any_script(spark):
+    want = [" ".join(unicodedata.normalize("NFKC", x.strip().lower()).split()) for x in SCRIPTS]
+    assert _one(spark, text.normalize_nfkc, [*SCRIPTS, None]) == [*want, ""]
+    assert _one(spark, text.fold_ascii, [*SCRIPTS, None]) == [*map(text.fold_py, SCRIPTS), None]
+
+
+def test_fold_of_every_code_point(spark):
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.decomposition(chr(c))]
+    assert _one(spark, text.fold_ascii, chars) == [text.fold_py(x) for x in chars]
+    rare = set(text._RARE)
+    keys = [x for x in chars if ord(x) not in rare]
+    assert _one(spark, lambda c: text.to_column(c, text.FOLD_STEPS), keys) == [text.fold_py(x) for x in keys]
+
+
 def test_clean_text(spark):
     out = _one(spark, text.clean_text, ["Error en la cuenta 12345 ws0067 de Juan, ok!", None])
     assert out == ["error cuenta juan", ""]

@@ -3,23 +3,28 @@
 Each normaliser is an ordered list of steps.  ``to_column`` turns the steps
 into a Spark expression (JVM-side, inside whole-stage codegen); ``to_sql``
 turns the same steps into DuckDB SQL for the correctness oracle.  Unicode
-folding uses translate tables generated from ``unicodedata`` by rule; for text
-outside Latin the opt-in ``fold_ascii_udf`` applies full NFKD in Arrow batches.
+folding uses translate tables generated from ``unicodedata`` by rule: one letter
+for one over all code points, several letters for one inside Latin.  What tables
+cannot do (composed Hangul, stacked marks, ligatures) ``normalize_nfkc`` and
+``fold_ascii`` leave to an Arrow function, to which only such rows send their text.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import fixed
 
-# Characters for which Python's str.isspace() is true inside Latin-1; strip() and
-# the ``\s`` class of the reference use this set, Java's ``\s`` lacks some of them.
-_WS_CODES = [c for c in range(256) if chr(c).isspace()]
+# Characters for which Python's str.isspace() is true; strip() and the ``\s``
+# class of the reference use this set, Java's ``\s`` lacks some of them.
+_WS_CODES = [c for c in range(sys.maxunicode + 1) if chr(c).isspace()]
 
 
 def _class_body(codes):
@@ -38,23 +43,31 @@ WS = "[" + _class_body(_WS_CODES) + "]"          # whitespace class, Java + RE2
 WS_CHARS = "".join(chr(c) for c in _WS_CODES)
 
 
-def _fold_table(lo: int = 0x80, hi: int = 0x250):
-    """NFKD + drop non-ASCII, by rule, for U+0080..U+024F.
+LATIN_END = 0x250
 
-    Returns (one-to-one from, to) strings and a list of multi-character
-    replacements.  Characters that fold to nothing are dropped afterwards by
-    removing every remaining non-ASCII character.
+
+def _fold_table():
+    """NFKD + drop non-ASCII, by rule, for every code point above ASCII.
+
+    Returns (one-to-one from, to) strings, the multi-character replacements of
+    Latin, and the other code points that fold to several characters.  Those
+    that fold to nothing are dropped afterwards by removing every remaining
+    non-ASCII character.
     """
-    src, dst, multi = [], [], []
-    for code in range(lo, hi):
+    src, dst, multi, rare = [], [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
         ch = chr(code)
+        if not unicodedata.decomposition(ch):
+            continue
         out = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
         if len(out) == 1:
             src.append(ch)
             dst.append(out)
-        elif len(out) > 1:
+        elif len(out) > 1 and code < LATIN_END:
             multi.append((ch, out))
-    return "".join(src), "".join(dst), multi
+        elif len(out) > 1:
+            rare.append(code)
+    return "".join(src), "".join(dst), multi, rare
 
 
 def _nfkc_table(lo: int = 0x80, hi: int = 0x100):
@@ -63,7 +76,9 @@ def _nfkc_table(lo: int = 0x80, hi: int = 0x100):
             if unicodedata.normalize("NFKC", chr(c)) != chr(c)]
 
 
-FOLD_FROM, FOLD_TO, FOLD_MULTI = _fold_table()
+FOLD_FROM, FOLD_TO, FOLD_MULTI, _RARE = _fold_table()
+#: Code points outside Latin that fold to several characters (ligatures, enclosed numbers, units).
+FOLD_RARE = "[" + _class_body(_RARE) + "]"
 NFKC_PAIRS = _nfkc_table()
 
 
@@ -207,14 +222,26 @@ def _null_to(c: Column, default: str) -> Column:
     return F.coalesce(c.cast("string"), F.lit(default))
 
 
+@F.pandas_udf(StringType())
+def _nfkc_any(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _fold_any(text: pd.Series) -> pd.Series:
+    return text.map(fold_py, na_action="ignore")
+
+
 def normalize_nfkc(c: Column) -> Column:
-    """non-string/null -> ''."""
-    return to_column(_null_to(c, ""), NFKC_STEPS)
+    """non-string/null -> ''.  Texts beyond Latin-1 are normalised in Arrow batches; no other text leaves the JVM."""
+    x = to_column(_null_to(c, ""), [strip(), lower()])
+    wide = _nfkc_any(F.when(x.rlike(r"[^\x{00}-\x{FF}]"), x))
+    return to_column(F.coalesce(wide, to_column(x, [nfkc()])), collapse())
 
 
 def fold_ascii(c: Column) -> Column:
-    """NFKD and drop non-ASCII (exact for U+0000..U+024F)."""
-    return to_column(c, FOLD_STEPS)
+    """NFKD and drop non-ASCII, for every code point; rows with ``FOLD_RARE`` characters are folded in Arrow batches."""
+    return F.coalesce(_fold_any(F.when(c.rlike(FOLD_RARE), c)), to_column(c, FOLD_STEPS))
 
 
 def normalize_group_key(c: Column) -> Column:
