@@ -83,5 +83,5 @@ def test_run_and_registration(spark, stages):
     a, b = (sorted(map(str, x.collect())) for x in (corpus_pipeline.run(spark, folder), tables[-1]))
     assert a == b
     names = [re.match(r"op(\d+)_", n) for n in __spark_entry__.queries()]
-    assert sorted(int(m[1]) for m in names if m) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(m[1]) for m in names if m) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
