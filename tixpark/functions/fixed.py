@@ -161,3 +161,10 @@ INCIDENT_FIELDS_SKIPNULL = ('u_subcategory_2', 'cmdb_ci_business_app', 'short_de
                             'u_affected_user.title', 'u_affected_user.department',
                             'u_affected_user.company', 'location.cmn_location_type', 'description')
 INCIDENT_FIELDS_FILL = ('short_description', 'description', 'u_subcategory', 'u_subcategory_2')
+
+# Fixed values of update rows: tables and columns of the ticket system, the application and the state that are set.
+INCIDENT_TABLE = "incident"
+REQUIREMENT_TABLE = "sc_req_item"
+NUMBER_COLUMNS = ("number", "Number", "id")
+APPLICATION = "Bancs"
+UPDATED_STATE = "2"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import bindings as b
-from ..sources import csvio
+from ..sources import csvio, records
 from ..streaming import stream
 from .catalog import register
 
@@ -51,6 +51,22 @@ def q_change_separator(spark, sf):
     return csvio.scan_tickets(spark, bpath, multiline=True)
 
 
+_ONE_LINE = "regexp_replace({}, '\\r\\n|\\r|\\n', ' ', 'g')"
+
+
+@register("clean_csv_job", W + f"""
+SELECT number, category, contact_type, {_cell(_ONE_LINE.format('short_description'))} AS short_description,
+       {_cell(_ONE_LINE.format('description'))} AS description FROM tickets
+""")
+def q_clean_csv_job(spark, sf):
+    """A comma export with line breaks in its fields, cleaned file to file, then read line by line."""
+    t = b.tickets(spark, sf).select("number", "category", "contact_type", "short_description", "description")
+    source, target = _scratch(spark, "raw"), _scratch(spark, "clean")
+    csvio.write_delimited(t, source, sep=",", encoding="UTF-8")
+    records.clean_csv_job(spark, source, target)
+    return csvio.scan_tickets(spark, target, encoding="UTF-8")
+
+
 @register("append_aligned", W + """
 SELECT number, coalesce(short_description, '') AS short_description, coalesce(clasificacion, '') AS "Categoría",
        strftime(sys_created_on, '%Y-%m-%d %H:%M:%S.%f') AS fecha_asignacion, '' AS "Origen" FROM tickets

@@ -1,4 +1,4 @@
-"""Registered queries: the assignment jobs, their streaming form and committed exports.
+"""Registered queries: the assignment jobs, their streaming form, update rows.
 
 Each query writes through the job's sinks, reads them back and returns what it read.
 """
@@ -14,14 +14,17 @@ from ..functions import text as tx
 from ..operators import dimensions as dim
 from ..operators import jobs
 from ..operators import projections as pj
+from ..operators import updates as up
 from ..session import scratch_path, written
 from ..sources import bindings as b
+from ..sources import csvio
 from ..sources.committed import CommittedStore
 from ..streaming import stream
 from .catalog import register
 from .q_routing import _ROUTE_SQL, _RT_CTE, routing_tickets
 from .q_text import _DCORE, _SCORE
 from .q_workload import AS_OF, WINDOW
+from .sqlfrag import s_strip
 
 RUN = "2024-02-01_08-00-00"
 
@@ -80,8 +83,7 @@ def _requirement_oracle():
     return _ROUTE_SQL.replace(_RT_CTE, _RT_REQ) + f", sinks AS ({sinks})" + _RES_SQL.format(r=_RES_R)
 
 
-@register("assign_requirements", _requirement_oracle())
-def q_assign_requirements(spark, sf):
+def _assign_requirements(spark, sf, store, training_columns=("number", "clasificacion")):
     def review(df):
         """M25's text steps and P14: a requirement without usable text goes to review."""
         core = [tx.strip_boilerplate(tx.mask_entities(F.col(c))).alias(f"_{c}") for c in ("description", "short_description")]
@@ -90,14 +92,58 @@ def q_assign_requirements(spark, sf):
         x = df.join(final, "number")
         return x.withColumn("Clasificación", pj.empty_text_to_review(F.col("_ft"), F.col("Clasificación"))).drop("_ft")
 
-    store = CommittedStore(spark, _scratch(spark, "requirements"))
     export = _export(spark, sf).withColumnRenamed("sys_created_on", "opened_at")
-    jobs.assign_requirements(export, _desk(spark, sf), store, RUN, review, training_columns=("number", "clasificacion"))
+    jobs.assign_requirements(export, _desk(spark, sf), store, RUN, review, training_columns=training_columns)
+
+
+@register("assign_requirements", _requirement_oracle())
+def q_assign_requirements(spark, sf):
+    store = CommittedStore(spark, _scratch(spark, "requirements"))
+    _assign_requirements(spark, sf, store)
     t = store.read("training").select("number", F.col("clasificacion").alias("training_class"))
     dates = store.read("assignments").select("number", "fecha_resolucion")
     return _reread(store).join(t.withColumn("training_class", F.coalesce("training_class", F.lit(""))), "number").join(dates, "number")
 
 
+# ------------------------------------------------------------- update rows
+BASE_URL = "https://desk.example/"
+ITEMS = '{"Bancs": "item-7"}'
+
+
+def _update_sql(assigned: str, requirement: bool) -> str:
+    due = f"coalesce(fecha_resolucion, strftime(TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY, '%d/%m/%Y %H:%M:%S'))" if requirement else "CAST(NULL AS VARCHAR)"
+    app, item, state = (f"'{v}'" if requirement else "CAST(NULL AS VARCHAR)" for v in (fixed.APPLICATION, "item-7", fixed.UPDATED_STATE))
+    table = fixed.REQUIREMENT_TABLE if requirement else fixed.INCIDENT_TABLE
+    return f"""
+WITH a AS ({assigned})
+, x AS (SELECT *, {s_strip('predicted_assigned_to')} AS who FROM a)
+, u AS (SELECT upper({s_strip('nombre')}) AS sn, lower({s_strip('usuario')}) AS su, {s_strip('sys_id')} AS sid, ord
+        FROM ({b.ORACLE_WITH} SELECT * FROM users) WHERE {s_strip('sys_id')} <> '')
+, bn AS (SELECT sn, arg_max(sid, ord) AS sid_n FROM u WHERE sn <> '' GROUP BY sn)
+, bu AS (SELECT su, arg_max(sid, ord) AS sid_u FROM u WHERE su <> '' GROUP BY su)
+SELECT '{table}' AS record_table, number, who AS assigned_to, coalesce(sid_n, sid_u, '') AS assigned_to_id, {due} AS due_date, {app} AS application,
+       {item} AS application_id, {state} AS state, 'https://desk.example/{table}.do?sysparm_query=number=' || number AS url
+FROM x LEFT JOIN bn ON sn = upper(who) LEFT JOIN bu ON su = lower(who) WHERE who <> '' AND lower(who) <> 'nan'
+"""
+
+
+@register("update_records", _update_sql(_requirement_oracle(), True))
+def q_update_records(spark, sf):
+    """J14 over the requirements that a run committed."""
+    store = CommittedStore(spark, _scratch(spark, "requirements"))
+    _assign_requirements(spark, sf, store)
+    a = store.read("assignments").select("number", "predicted_assigned_to", "fecha_resolucion")
+    return up.update_records(a, b.users(spark, sf), BASE_URL, AS_OF, True, csvio.config_lookup(F.lit(ITEMS), fixed.APPLICATION), "predicted_assigned_to")
+
+
+@register("update_records_incidents", _update_sql(_ROUTE_SQL + "SELECT number, assigned_to AS predicted_assigned_to FROM routed", False))
+def q_update_records_incidents(spark, sf):
+    """J14 over the incidents that a run committed."""
+    store = CommittedStore(spark, _scratch(spark, "incidents"))
+    jobs.assign_incidents(_export(spark, sf), _desk(spark, sf), store, RUN, training_columns=("number", "Categoría"))
+    return up.update_records(store.read("assignments"), b.users(spark, sf), BASE_URL, AS_OF, False, assignee="predicted_assigned_to")
+
+
 @register("write_summary_text", _ROUTE_SQL + f"""
 , top5 AS (SELECT assigned_to, count(*) AS n FROM routed GROUP BY ALL ORDER BY n DESC, assigned_to LIMIT 5)
 SELECT 1 AS pos, 'Incident Assignment Summary - {RUN}' AS line
