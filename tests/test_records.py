@@ -109,3 +109,30 @@ def test_text_form(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, t string")
     got = [r["c"] for r in df.select("i", records.clean_csv_text(F.col("t")).alias("c")).orderBy("i").collect()]
     assert got == ['a;"b c,d";e\nf;g', '"x"" "",y";z', "", 'open "a ,b', None]
+
+
+def test_scan_over_line_breaks_does_not_depend_on_splits(spark):
+    rnd = random.Random(9)
+    cells = ["".join(rnd.choice(["a", ";", '""', "\n", "\r\n", " ", "ñ"]) for _ in range(rnd.randint(0, 8))) for _ in range(60)]
+    text = "n;t;u\n" + "".join(f'{i};"{c}"' + rnd.choice(["\n", ";x\n", ';"y\nz"\n', ";x;\n", ";NA\n", "\n\n"]) for i, c in enumerate(cells))
+    path, seen = folder(spark, {"a.csv": text, "b.csv": "n;t;u\n900;b;\n"}, "latin-1"), []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("24", "100", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            seen.append(sorted((tuple(r) for r in csvio.scan_tickets(spark, path, multiline=True).collect()), key=lambda r: int(r[0])))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    expected = []
+    for record in by_character(text, "\n")[1:]:
+        fields, quoted = [""], False
+        for c in record:
+            quoted ^= c == '"'
+            if c == ";" and not quoted:
+                fields.append("")
+            else:
+                fields[-1] += c
+        if record and len(fields) <= 3:
+            values = [f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in fields] + [None] * (3 - len(fields))
+            expected.append(tuple(None if v in csvio.NULL_TOKENS else v for v in values))
+    assert seen[0] == seen[1] == seen[2] == expected + [("900", "b", None)]

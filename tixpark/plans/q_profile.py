@@ -249,3 +249,63 @@ WHERE traw IN (SELECT traw FROM amb) ORDER BY number
 def q_review_listing(spark, sf):
     x = base(spark, sf)
     return lb.review_listing(x, "traw", "clase", "number", lb.ambiguous_texts(_summary(spark, sf)))
+
+
+# ------------------------------------------------------------- labels that disagree
+# The labels of the given tables agree inside a repeated text.  Here every ticket is labelled by its number, so copies of a
+# text disagree (also in ties); some are unclassified, which leaves their group alone (Q16).
+_BY_NUMBER = "CASE WHEN ord % 50 = 7 THEN 'sin_clasificar' WHEN ord % 3 = 0 THEN 'cheques' WHEN ord % 3 = 1 THEN 'cuentas' ELSE 'garantias' END"
+_DISAGREEING_SQL = _AMB_REAL.replace(BASE_SQL, BASE_SQL.replace(", base AS (", ", base_given AS (")
+                                     + f", base AS (SELECT * REPLACE ({_BY_NUMBER} AS clase) FROM base_given)")
+
+
+def _disagreeing(spark, sf):
+    """The tickets labelled by number, their summary of repeated texts and the texts that are ambiguous."""
+    x = base(spark, sf).withColumn("clase", F.expr(_BY_NUMBER))
+    return x, lb.ambiguous_texts(lb.duplicate_text_summary(x, "traw", "clase", "number", "ord"))
+
+
+@register("ambiguous_texts_disagreeing", _DISAGREEING_SQL + """
+SELECT traw, n_tickets, clasificaciones, n_clases, ejemplos FROM summ JOIN amb USING (traw)
+""")
+def q_ambiguous_disagreeing(spark, sf):
+    return _disagreeing(spark, sf)[1].drop("text_key")
+
+
+@register("majority_label_disagreeing", _DISAGREEING_SQL + "SELECT traw, majority FROM maj")
+def q_majority_disagreeing(spark, sf):
+    x, ambiguous = _disagreeing(spark, sf)
+    majority = lb.majority_label(lb.semi_ambiguous_texts(x, "traw", ambiguous), "clase", "ord")
+    return ambiguous.select("text_key", "traw").join(majority, "text_key").select("traw", "majority")
+
+
+@register("apply_majority_label_disagreeing", _DISAGREEING_SQL + "SELECT number, clase AS given, clase2 AS clase FROM repaired")
+def q_apply_majority_disagreeing(spark, sf):
+    x = _disagreeing(spark, sf)[0].withColumn("given", F.col("clase"))
+    return lb.repair_ambiguous(x, "traw", "clase", "ord").select("number", "given", "clase")
+
+
+@register("semi_ambiguous_texts_disagreeing", _DISAGREEING_SQL + "SELECT number, clase FROM base WHERE traw IN (SELECT traw FROM amb)")
+def q_semi_ambiguous_disagreeing(spark, sf):
+    x, ambiguous = _disagreeing(spark, sf)
+    return lb.semi_ambiguous_texts(x, "traw", ambiguous).select("number", "clase")
+
+
+@register("review_listing_disagreeing", _DISAGREEING_SQL + """
+SELECT number, traw, clase, short_description, description, category FROM base
+WHERE traw IN (SELECT traw FROM amb) ORDER BY number
+""")
+def q_review_disagreeing(spark, sf):
+    x, ambiguous = _disagreeing(spark, sf)
+    return lb.review_listing(x, "traw", "clase", "number", ambiguous)
+
+
+@register("verify_single_class_disagreeing", _DISAGREEING_SQL + """
+SELECT traw, count(DISTINCT clase2) AS n_clases, array_to_string(list_sort(list_distinct(list(clase2))), ', ') AS clasificaciones
+FROM repaired GROUP BY traw HAVING count(DISTINCT clase2) > 1
+""")
+def q_verify_disagreeing(spark, sf):
+    r = lb.repair_ambiguous(_disagreeing(spark, sf)[0], "traw", "clase", "ord")
+    v = lb.verify_single_class(r, "traw", "clase")
+    texts = lb.with_text_key(r, "traw").select("text_key", "traw").dropDuplicates(["text_key"])
+    return v.join(texts, "text_key").select("traw", "n_clases", "clasificaciones")

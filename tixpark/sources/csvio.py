@@ -1,7 +1,7 @@
 """Delimited ticket exports: scan, repair, sinks and run archives.
 
-Scans are plain ``spark.read.csv`` jobs (splittable unless ``multiLine`` is
-needed for quoted line breaks); repairs are column expressions; sinks are
+Scans are plain ``spark.read.csv`` jobs, or of the records of
+:mod:`.records` where quoted fields hold line breaks; repairs are column expressions; sinks are
 ``DataFrameWriter`` calls.  Scratch output goes under the shared
 ``spark.checkpoint.dir``, never a machine-local folder.
 """
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .records import LATIN1, UTF8, logical_records, split_fields
+
 # Cell texts that pandas reads as missing by default.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
                "None", "n/a", "nan", "null")
-LATIN1, UTF8 = "ISO-8859-1", "UTF-8"
 
 
 def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
@@ -46,12 +47,17 @@ def scan_tickets(spark: SparkSession, path: str, sep: str | None = None, encodin
     ``_corrupt``; a row that parses cleanly has n + 1 fields (a trailing
     separator makes one), for others the raw record's separators outside quotes
     count.  ``encoding`` None: UTF-8 if the whole file is, else latin-1.
-    ``multiline`` only where quoted fields hold line breaks: it makes one task
-    per file.
+    ``multiline`` where quoted fields hold line breaks (read as ``\\n``): the
+    records are found in splits, with one more shuffle; only encodings other
+    than these two make one task per file.
     """
     encoding = encoding or detect_encoding(spark, path)
     s, cols = sniff_delimiter(spark, path, sep or ";", "," if (sep or ";") == ";" else ";", encoding)
     sep = sep or s
+    toks = list(null_tokens)
+    cells = [F.when(F.col(f"`{c}`").isin(toks), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in cols]
+    if multiline and encoding.upper() in (LATIN1, UTF8):
+        return split_fields(logical_records(spark, path, encoding, "\n"), cols, sep).select(*cells)
     n = len(cols)
     schema = StructType([StructField(c, StringType()) for c in cols]
                         + [StructField("_rest", StringType()), StructField("_corrupt", StringType())])
@@ -63,9 +69,7 @@ def scan_tickets(spark: SparkSession, path: str, sep: str | None = None, encodin
     unq = F.regexp_replace(F.col("_corrupt"), r'"[^"]*(?:""[^"]*)*"', "")
     width = F.when(F.col("_corrupt").isNull(), F.lit(n + 1))\
              .otherwise(F.lit(1) + F.length(unq) - F.length(F.replace(unq, F.lit(sep), F.lit(""))))
-    df = df.filter(width <= n).drop("_rest", "_corrupt")
-    toks = list(null_tokens)
-    return df.select(*[F.when(F.col(f"`{c}`").isin(toks), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in cols])
+    return df.filter(width <= n).select(*cells)
 
 
 def repair_quoted_newlines(df: DataFrame, replacement: str = " ") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Records of delimited files whose quoted fields hold line breaks, read in splits.
+"""Records of delimited files whose quoted fields hold line breaks, read in splits.
 
 A multi-line CSV scan is one task per file.  Here the files are read as lines,
 in splits of any size: the quotes of each split are counted, the parity before
@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .csvio import LATIN1, UTF8
-
+LATIN1, UTF8 = "ISO-8859-1", "UTF-8"
 #: Lines that one record may have; a file whose quote is never closed would be one record.
 MAX_LINES = 100_000
 _BREAK = "\r\n|\r|\n"
@@ -78,6 +78,17 @@ def logical_records(spark: SparkSession, path: str, encoding: str = UTF8, replac
     return whole.select("file", "block", "pos", F.col("first").alias("header"), F.col("value").alias("record")).unionByName(joined)
 
 
+def split_fields(records: DataFrame, columns: list[str], sep: str) -> DataFrame:
+    """The fields of :func:`logical_records`' rows as strings.  Blank records and those with more fields than
+    ``columns`` go, short ones end in nulls."""
+    schema = StructType([StructField(c, StringType()) for c in columns])
+    record = F.col("record")
+    outside = F.regexp_replace(record, r'"[^"]*"', "")
+    width = F.length(outside) - F.length(F.replace(outside, F.lit(sep), F.lit(""))) + 1
+    fields = F.from_csv(record, schema.toDDL(), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0001"})
+    return records.filter(~F.col("header") & (F.trim(record) != "") & (width <= len(columns))).select(fields.alias("f")).select("f.*")
+
+
 def clean_csv_job(spark: SparkSession, source: str, target: str, encoding: str = UTF8, replacement: str = " ", change_separator: bool = True,
                   sep: str = ";", max_lines: int = MAX_LINES) -> None:
     """Files to files.  Records keep their text but for inner line breaks and unquoted commas, so records that are
