@@ -60,3 +60,20 @@ def test_history_runs_are_retry_safe(spark):
         csvio.append_history(one.filter("n = 2"), path, ["number"], "2024-01-01_09-00-00")
     runs = spark.read.parquet(path)
     assert runs.count() == 3 and [r.number for r in csvio.latest_run(runs).collect()] == ["b"]
+
+
+def test_latest_version_by_number_by_time_and_since(spark):
+    path = scratch_path(spark, f"versions-{uuid.uuid4().hex[:8]}")
+    os.makedirs(os.path.join(path, "set_V3.csv"))
+    for i, name in enumerate(["a_v2.csv", "b_v10.csv", "set_V3.csv/part-0.csv", "plain.csv", "c_v99.txt"]):
+        with open(os.path.join(path, name), "w") as f:
+            f.write("x\n")
+        os.utime(os.path.join(path, name), (1_700_000_000 + i * 60,) * 2)
+
+    def newest(**how):
+        return [(os.path.basename(r["path"]), r["version"]) for r in csvio.latest_version(spark, path, **how).collect()]
+
+    assert newest() == [("b_v10.csv", 10)]
+    assert newest(by_version=False) == [("plain.csv", 0)]
+    assert newest(since="2023-11-14 22:15:00") == [("set_V3.csv", 3)]      # the third file is from 22:15:20
+    assert newest(since="2030-01-01 00:00:00") == []

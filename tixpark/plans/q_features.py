@@ -351,6 +351,50 @@ def q_confidence_summary(spark, sf):
     return ev.confidence_summary(s, "conf", fixed.SOFTMAX_REVIEW_THRESHOLD)
 
 
+# twelve classes: tickets whose scores are equal are sure of none, 1/12 each
+_CLASSES = [f"clase {k:02d}" for k in range(12)]
+_MANY_SQL = BASE_SQL + f"""
+, many AS (SELECT number, ord, clase, [{", ".join(f"((ord * {k + 3}) % 13) * (ord % 4) / 13.0" for k in range(12))}] AS s FROM base)
+, ex AS (SELECT *, list_transform(s, lambda v: exp(v - list_max(s))) AS e FROM many)
+, sm AS (SELECT number, clase, list_max(e) / list_sum(e) AS conf, list_position(s, list_max(s)) AS best FROM ex)
+"""
+
+
+def _many_scores(spark, sf):
+    score = [(F.col("ord") * (k + 3)) % 13 * (F.col("ord") % 4) / 13.0 for k in range(12)]
+    return base(spark, sf).select("number", "clase", F.array(*score).alias("s")).withColumn("conf", ev.softmax_confidence(F.col("s")))
+
+
+@register("softmax_confidence_many", _MANY_SQL + "SELECT number, round(conf, 6) AS conf, conf < 0.1 AS needs_review FROM sm")
+def q_softmax_confidence_many(spark, sf):
+    return _many_scores(spark, sf).select("number", F.round("conf", 6).alias("conf"), (F.col("conf") < fixed.SOFTMAX_REVIEW_THRESHOLD).alias("needs_review"))
+
+
+@register("confidence_summary_many", _MANY_SQL + """
+SELECT CAST(least(floor(conf * 20), 19) AS INTEGER) AS bin, count(*) AS n,
+       (SELECT count(*) FROM sm WHERE conf < 0.1) AS low, (SELECT avg(CASE WHEN conf < 0.1 THEN 1.0 ELSE 0.0 END) FROM sm) AS low_share
+FROM sm GROUP BY 1
+""")
+def q_confidence_summary_many(spark, sf):
+    return ev.confidence_summary(_many_scores(spark, sf), "conf", fixed.SOFTMAX_REVIEW_THRESHOLD)
+
+
+@register("tag_source_confidence", _MANY_SQL + """
+SELECT number, clase AS "Clasificación", 'Original_Clasificado' AS "Fuente", 1.0::DOUBLE AS "Confianza", NULL::VARCHAR AS "Modelo_usado"
+FROM sm WHERE clase <> 'sin_clasificar'
+UNION ALL SELECT number, 'clase ' || lpad(CAST(best - 1 AS VARCHAR), 2, '0'), 'Reclasificado_IA', round(conf, 4), 'softmax' FROM sm WHERE clase = 'sin_clasificar'
+""")
+def q_tag_source_confidence(spark, sf):
+    """The complete set, each row with where its class is from."""
+    x = _many_scores(spark, sf).withColumnRenamed("clase", "Categoría")
+    x = pj.rename_class_column(x)
+    known = pj.tag_source_confidence(x.filter(F.col("Clasificación") != fixed.UNCLASSIFIED), "Original_Clasificado", 1.0)
+    best = F.element_at(F.array(*[F.lit(c) for c in _CLASSES]), F.array_position("s", F.array_max("s")).cast("int"))
+    given = x.filter(F.col("Clasificación") == fixed.UNCLASSIFIED).withColumn("Clasificación", best)
+    given = pj.tag_source_confidence(given, "Reclasificado_IA", F.round("conf", 4), "softmax")
+    return known.unionByName(given, allowMissingColumns=True).drop("s", "conf")
+
+
 @register("arg_best", _PRED_SQL + """
 , sc2 AS (SELECT 'source_majority' AS model, 0 AS ord, sum(f1) / count(*) AS f1 FROM pcs
           UNION ALL SELECT 'label_' || label, 1 + row_number() OVER (ORDER BY label), f1 FROM pcs)

@@ -106,3 +106,14 @@ def q_stream_tickets(spark, sf):
     stream.drop_files(t, src, parts=4)
     stream.run_available(spark, src, t.schema, out, ckpt, multiline=True)
     return spark.read.parquet(out).select(*t.columns)
+
+
+@register("latest_version", W + "SELECT 10 AS version, number, category FROM tickets WHERE ord % 3 = 1")
+def q_latest_version(spark, sf):
+    """Three versions of an export; the largest number is read, though it was written first."""
+    t = b.tickets(spark, sf).select("ord", "number", "category")
+    folder = _scratch(spark, "versions")
+    for version, part in ((10, 1), (9, 0), (2, 2)):
+        csvio.write_delimited(t.filter(F.col("ord") % 3 == part).drop("ord"), f"{folder}/training_v{version}.csv", encoding="UTF-8")
+    newest = csvio.latest_version(spark, folder).first()
+    return csvio.scan_tickets(spark, newest["path"], encoding="UTF-8").withColumn("version", F.lit(newest["version"]).cast("int"))

@@ -116,13 +116,21 @@ def latest_run(df: DataFrame) -> DataFrame:
     return df.filter((F.col("run_date").cast("string") == last["d"]) & (F.col("run_ts").cast("string") == last["t"])) if last else df.limit(0)
 
 
-def latest_version(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Newest file by (``_v<N>`` number, modification time)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+def latest_version(spark: SparkSession, folder: str, pattern: str = "*.csv", since: str | None = None, by_version: bool = True) -> DataFrame:
+    """``path, version, modificationTime`` of the newest export: the largest ``_v<N>`` (none: 0), then the latest
+    change; without ``by_version`` the latest change alone.  ``since`` (a timestamp) leaves out older files.  Equal times go
+    to the larger path.  A folder named ``..._v<N>.csv`` is one export, changed when its last file was.  No file, no row.
+    Names and times are listed, contents are not read."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
              .select("path", "modificationTime"))
-    v = F.regexp_extract(F.col("path"), r"(?i)_v(\d+)\.csv$", 1)
-    files = files.withColumn("version", F.when(v == "", F.lit(0)).otherwise(v.cast("bigint")))
-    return files.orderBy(F.desc("version"), F.desc("modificationTime")).limit(1)
+    if since is not None:
+        files = files.filter(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+    whole = F.regexp_extract("path", r"(?i)^(.*_v\d+\.csv)/[^/]*$", 1)
+    files = files.groupBy(F.when(whole == "", F.col("path")).otherwise(whole).alias("path")).agg(F.max("modificationTime").alias("modificationTime"))
+    v = F.regexp_extract("path", r"(?i)_v(\d+)\.csv$", 1)
+    files = files.withColumn("version", F.when(v == "", F.lit(0)).otherwise(v.try_cast("bigint")))
+    order = ([F.desc("version")] if by_version else []) + [F.desc("modificationTime"), F.desc("path")]
+    return files.select("path", "version", "modificationTime").orderBy(*order).limit(1)
 
 
 def config_lookup(cfg_json, key: str, default: str = ""):
