@@ -1,9 +1,10 @@
 """Chat formatting after a cumulative-snapshot collapse.
 
 Chat logs often hold a conversation once per turn: each snapshot is a prefix of
-the next.  Every turn gets the hash of its conversation up to it: a running sum
-(modulo 2^63, in two halves) of hashes of (place, role, text), so that a long
-conversation's prefix sums can be built in pieces.  A conversation whose whole
+the next.  Every turn gets the hash of its conversation up to it: running sums
+of four 31-bit hashes of (place, role, text), 124 bits in all, so that a long
+conversation's prefix sums can be built in pieces and some 10^12 prefixes are
+still told apart (two meet by chance with probability below 10^-12).  A conversation whose whole
 hash is the hash of a proper prefix of another is a snapshot of that one; an
 anti-join drops it.  Of equal conversations the smallest id stays.  What is left
 is maximal and is rendered.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PART_TURNS = 1024
-_HALF = 31
+_BITS = 31
+_SEEDS = (1, 2, 3, 4)
+_HASHES = [f"h{k}" for k in _SEEDS]
 
 
 def placed(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -49,25 +52,25 @@ def placed(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
 
 
 def hashed(turns: DataFrame) -> DataFrame:
-    """Add ``h1, h2`` (hash of the conversation up to each turn) to :func:`placed` turns; ``size`` is the prefix's length."""
-    parts = [F.shiftrightunsigned(F.xxhash64(F.lit(seed), "place", "role", "text"), 64 - _HALF).alias(f"g{seed}") for seed in (1, 2)]
+    """Add ``h1`` to ``h4`` (hash of the conversation up to each turn) to :func:`placed` turns; ``size`` is the prefix's length."""
+    parts = [F.shiftrightunsigned(F.xxhash64(F.lit(seed), "place", "role", "text"), 64 - _BITS).alias(f"g{seed}") for seed in _SEEDS]
     t = turns.withColumn("run", F.floor(F.col("place") / PART_TURNS)).select("conv_id", "place", "run", *parts)
     before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("conv_id", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    sums = t.groupBy("conv_id", "run").agg(F.sum("g1").alias("s1"), F.sum("g2").alias("s2"))
-    sums = sums.select(F.col("conv_id").alias("_c"), F.col("run").alias("_r"), *[F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"b{k}") for k in (1, 2)])
-    t = t.select("conv_id", "place", "run", *[F.sum(f"g{k}").over(inside).alias(f"r{k}") for k in (1, 2)])
+    sums = t.groupBy("conv_id", "run").agg(*[F.sum(f"g{k}").alias(f"s{k}") for k in _SEEDS])
+    sums = sums.select(F.col("conv_id").alias("_c"), F.col("run").alias("_r"), *[F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"b{k}") for k in _SEEDS])
+    t = t.select("conv_id", "place", "run", *[F.sum(f"g{k}").over(inside).alias(f"r{k}") for k in _SEEDS])
     t = t.join(sums, t["conv_id"].eqNullSafe(sums["_c"]) & (t["run"] == sums["_r"]))
-    return t.select("conv_id", (F.col("place") + 1).alias("size"), (F.col("b1") + F.col("r1")).alias("h1"), (F.col("b2") + F.col("r2")).alias("h2"))
+    return t.select("conv_id", (F.col("place") + 1).alias("size"), *[(F.col(f"b{k}") + F.col(f"r{k}")).alias(f"h{k}") for k in _SEEDS])
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
     """``conv_id, n_turns`` of the conversations that stay, from a written table of :func:`hashed` prefixes."""
-    ends = prefixes.groupBy("conv_id").agg(F.max(F.struct("size", "h1", "h2")).alias("e")).select("conv_id", "e.*")
-    first = ends.groupBy("size", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
+    ends = prefixes.groupBy("conv_id").agg(F.max(F.struct("size", *_HASHES)).alias("e")).select("conv_id", "e.*")
+    first = ends.groupBy("size", *_HASHES).agg(F.min("conv_id").alias("conv_id"))
     marked = prefixes.join(ends.select(F.col("conv_id").alias("_c"), F.col("size").alias("_n")), F.col("conv_id").eqNullSafe(F.col("_c")))
-    inner = marked.filter(F.col("size") < F.col("_n")).select("size", "h1", "h2").distinct()
-    return first.join(inner, ["size", "h1", "h2"], "left_anti").select("conv_id", F.col("size").alias("n_turns"))
+    inner = marked.filter(F.col("size") < F.col("_n")).select("size", *_HASHES).distinct()
+    return first.join(inner, ["size", *_HASHES], "left_anti").select("conv_id", F.col("size").alias("n_turns"))
 
 
 def rendered(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
