@@ -53,6 +53,34 @@ def test_mask_and_boilerplate(spark):
     assert b == "el reporte url fecha num largo"
 
 
+#: Pieces that the chains look for, alone, side by side and broken, in several scripts.
+PIECES = ["Estimados", "buenos  d\u00edas", "por favor", "su gentil", "ayuda con", "quedo atento", "x@y.com", "a.b-c@d.e_f.g", "https://a.b/c?d=1", "www.x.y",
+          "12/3/2020", "1234567", "123", "ab1", "1ab", "Ab1c", "aaaaa", "AAAA", "!!!!", "____", "\ufb01n", "\u2103", "\ud55c", "\u0130STANBUL", "\u03a3", "\u00df",
+          "\u1d2c\u1d2c", "\u00a0", "\x1c", "\x85", "\u2028", "\u00bd kg", "con el", "para", "de la", "\n", "\r\n", "\t", "saludos cordiales", "gracias", "de antemano",
+          "a a a a", "-", "/", "@", ".", "1-2-20", "espero se encuentren bien", "el", "m\u00e1s", "\U0001f600"]
+
+
+def test_whole_text_chains_do_what_their_steps_say(spark):
+    r = random.Random(3)
+    rows = [None, "", *SCRIPTS, *("".join(r.choice(PIECES) + r.choice(["", " ", "  "]) for _ in range(r.randint(1, 20))) for _ in range(400))]
+    given = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, x string")
+    x = F.coalesce("x", F.lit(""))
+    masked = text.to_column(F.regexp_replace(text.to_column(x, text.MASK_STEPS_HEAD), r"(.)\1{3,}", " "), text.MASK_STEPS_TAIL)
+    cleaned = text.remove_stopwords(text.to_column(x, text.CLEAN_STEPS))
+    blanks = F.size(F.filter(F.split(x, text.WS + "+"), lambda t: t != ""))
+    plain = given.select("i", masked.alias("m"), cleaned.alias("c"), blanks.alias("n")).select("*", text.to_column(F.col("m"), text.BOILER_STEPS).alias("b"))
+    out = given.select("i", text.mask_entities(F.col("x")).alias("m"), text.clean_text(F.col("x")).alias("c"), text.tokens_count(F.col("x")).alias("n"),
+                       text.strip_boilerplate(text.mask_entities(F.col("x"))).alias("b"))
+    assert out.orderBy("i").collect() == plain.orderBy("i").collect()
+
+
+def test_whole_texts_are_not_built_anew_by_chains_of_expressions(spark):
+    d = spark.createDataFrame([("a",)], "x string")
+    for f in (text.mask_entities, text.clean_text, text.normalize_nfkc, lambda c: text.strip_boilerplate(text.mask_entities(c))):
+        plan = d.select(f(F.col("x")))._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "regexp_replace" not in plan and "replace(" not in plan
+
+
 def test_choose_text(spark):
     df = spark.createDataFrame([("uno dos tres", "a b c d"), ("uno dos tres cuatro", "x y z w"), ("a", "b")], "d string, s string")
     out = [r[0] for r in df.select(text.choose_text(F.col("d"), F.col("s"))).collect()]
