@@ -16,9 +16,13 @@ from ..operators import jobs
 from ..sources.committed import CommittedStore
 
 
+#: Rows of a dropped file: one with line breaks in its fields is read by a single task.
+FILE_ROWS = 20_000
+
+
 def drop_files(df: DataFrame, folder: str, parts: int = 4, sep: str = ";") -> None:
-    """Write a frame as several delimited files (test feed for T1)."""
-    (df.repartition(parts).write.mode("append").option("sep", sep).option("header", True)
+    """Write a frame as several delimited files (test feed for T1): ``parts``, more where a file would have over ``FILE_ROWS`` rows."""
+    (df.repartition(max(parts, -(-df.count() // FILE_ROWS))).write.mode("append").option("sep", sep).option("header", True)
        .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
        .option("ignoreTrailingWhiteSpace", False).csv(folder))
 
