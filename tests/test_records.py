@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import uuid
 
 import pytest
@@ -136,3 +137,14 @@ def test_scan_over_line_breaks_does_not_depend_on_splits(spark):
             values = [f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in fields] + [None] * (3 - len(fields))
             expected.append(tuple(None if v in csvio.NULL_TOKENS else v for v in values))
     assert seen[0] == seen[1] == seen[2] == expected + [("900", "b", None)]
+
+
+def test_lines_stay_in_their_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("h,t\n" + "".join(f'{i},"one\ntwo ""{i}""\n"\n{i},plain\n' for i in range(50)))
+    (tmp_path / "b.csv").write_text("h,t\n1,last")
+    df = records.logical_records(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # nothing is dealt out by split: only what goes over two of them is, by file
+    assert "MapInArrow" in plan and re.search(r"hashpartitioning\(file#\d+, block#", plan) is None
+    got = sorted(r["record"] for r in df.filter("NOT header").collect())
+    assert got == sorted([f'{i},"one two ""{i}"" "' for i in range(50)] + [f"{i},plain" for i in range(50)] + ["1,last"])

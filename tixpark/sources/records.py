@@ -4,17 +4,23 @@ A multi-line CSV scan is one task per file.  Here the files are read as lines,
 in splits of any size: the quotes of each split are counted, the parity before
 a split is a running sum over the file's splits (one row each), and the parity
 before a line a running sum inside its split.  A line that starts outside
-quotes starts a record; only lines of records that go over several lines are
-gathered.  ``""`` inside quotes turns the parity twice, so it needs no rule.
+quotes starts a record.  A split's lines are joined to records where they are
+read; only records that go over two splits or more are shuffled.  ``""`` inside
+quotes turns the parity twice, so it needs no rule.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..session import written
+
 LATIN1, UTF8 = "ISO-8859-1", "UTF-8"
 #: Lines that one record may have; a file whose quote is never closed would be one record.
 MAX_LINES = 100_000
@@ -47,6 +53,51 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return raw.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
 
 
+def _pieces(lines: DataFrame, replacement: str, max_lines: int) -> DataFrame:
+    """``split, pos, begun, closed, n, header, record``: the lines of every split joined to records.  A record that
+    starts in an earlier split is not ``begun``, one that goes on in a later split not ``closed``.  ``lines`` has split, top (the
+    file's first split), entry (parity before the split), pos, value, quotes; a task has a split's lines in a row."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, odd, first, begun, place, held, done = None, 0, False, False, 0, [], []
+
+        def end(closed: bool) -> None:
+            done.append((split, place, begun, closed, len(held), first and begun, replacement.join(held)))
+
+        for batch in batches:
+            for s, top, entry, pos, value, quotes in zip(*(c.to_pylist() for c in batch.columns)):
+                new = s != split
+                if new:
+                    if held:
+                        end(False)
+                    split, odd, held = s, entry, []
+                if not held:
+                    begun, place, first = odd == 0, pos, new and top
+                held.append(value)
+                if len(held) > max_lines:
+                    raise ValueError(f"{_TOO_LONG} split {split}")
+                odd ^= quotes & 1
+                if not odd:
+                    end(True)
+                    held = []
+            yield _batch(done)
+            done.clear()
+        if held:
+            end(False)
+            yield _batch(done)
+
+    return lines.select("split", "top", "entry", "pos", "value", "quotes").mapInArrow(work, _PIECE)
+
+
+_PIECE = "split int, pos long, begun boolean, closed boolean, n long, header boolean, record string"
+_ARROW = [pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_(), pa.string()]
+_TOO_LONG = "open quote: a record has too many lines in"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW)], names=[c.split()[0] for c in _PIECE.split(", ")])
+
+
 def logical_records(spark: SparkSession, path: str, encoding: str = UTF8, replacement: str = " ", max_lines: int = MAX_LINES) -> DataFrame:
     """``file, block, pos, header, record``: one row per record, its inner line breaks replaced.
 
@@ -57,25 +108,23 @@ def logical_records(spark: SparkSession, path: str, encoding: str = UTF8, replac
     """
     lines = _lines(spark, path, encoding)
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    odd = lines.groupBy("file", "block").agg((F.sum("quotes") % 2).alias("odd"))
-    odd = odd.select("file", "block", F.coalesce(F.sum("odd").over(earlier) % 2, F.lit(0)).alias("entry"))
-    inside = Window.partitionBy("file", "block").orderBy("pos")
-    before = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = lines.join(odd, ["file", "block"]).withColumn("open", (F.col("entry") + before) % 2)
-    x = x.withColumn("first", (F.col("block") == 0) & (F.row_number().over(inside) == 1))
-    x = x.withColumn("start", F.last(F.when(F.col("open") == 0, F.struct("block", "pos")), ignorenulls=True).over(inside))
-    whole = x.filter((F.col("open") == 0) & (F.col("quotes") % 2 == 0))
-    parts = x.filter((F.col("open") == 1) | (F.col("quotes") % 2 == 1))
-    # lines before a split's first record belong to the last record that started in an earlier split
-    starts = x.groupBy("file", "block").agg(F.max("start").alias("start"))
-    starts = starts.select("file", "block", F.last("start", ignorenulls=True).over(earlier).alias("before"))
-    parts = parts.join(starts, ["file", "block"]).withColumn("start", F.coalesce("start", "before")).drop("before")
-    length = parts.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
-    message = F.concat(F.lit("open quote: a record has too many lines in "), F.col("file"))
-    parts = parts.join(length, ["file", "start"]).withColumn("value", F.when(F.col("n") <= max_lines, F.col("value")).otherwise(F.raise_error(message)))
-    joined = parts.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("block", "pos", "value"))).alias("l"), F.max("first").alias("header"))
-    joined = joined.select("file", "start.block", "start.pos", "header", F.array_join(F.col("l.value"), replacement).alias("record"))
-    return whole.select("file", "block", "pos", F.col("first").alias("header"), F.col("value").alias("record")).unionByName(joined)
+    splits = lines.groupBy("file", "block").agg((F.sum("quotes") % 2).alias("odd"))
+    splits = splits.select("file", "block", F.coalesce(F.sum("odd").over(earlier) % 2, F.lit(0)).alias("entry"),
+                           F.row_number().over(Window.orderBy("file", "block")).alias("split"))
+    splits = F.broadcast(written(splits, "splits"))      # one row per split: the lines stay where they are read
+    pieces = _pieces(lines.join(splits, ["file", "block"]).withColumn("top", F.col("block") == 0), replacement, max_lines)
+    pieces = pieces.join(splits.select("split", "file", "block"), "split")
+    whole = pieces.filter("begun AND closed").select("file", "block", "pos", "header", "record")
+    # at most two of a split: its first lines belong to the last record that an earlier split left open
+    parts = pieces.filter("NOT (begun AND closed)")
+    upto = Window.partitionBy("file").orderBy("block", "begun").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("start", F.last(F.when(F.col("begun"), F.struct("block", "pos")), ignorenulls=True).over(upto))
+    message = F.concat(F.lit(f"{_TOO_LONG} "), F.col("file"))
+    value = F.when(F.sum("n").over(Window.partitionBy("file", "start")) <= max_lines, F.col("record")).otherwise(F.raise_error(message))
+    parts = parts.withColumn("record", value)
+    joined = parts.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("block", "pos", "record"))).alias("l"), F.max("header").alias("header"))
+    joined = joined.select("file", "start.block", "start.pos", "header", F.array_join(F.col("l.record"), replacement).alias("record"))
+    return whole.unionByName(joined)
 
 
 def split_fields(records: DataFrame, columns: list[str], sep: str) -> DataFrame:
