@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tixpark.llm import linededup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -78,3 +80,15 @@ def test_a_frequent_line_and_its_variants(spark):
     docs = [(i, f"{base[:i % 30]}#{base[i % 30:]}" if i % 2 else base) for i in range(200)]
     got = {r.doc_id: r.text for r in linededup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: base if i == 0 else "" for i in range(200)}
+
+
+def test_only_documents_that_lose_lines_are_shuffled_with_their_texts(spark):
+    """Documents that lose nothing, and the rows that the bitmap names too many of, pass as they are."""
+    line = "a line that is long enough"
+    docs = [(None, line), (1, line), (2, f"{line}\n\nbut another one stays"), (3, "nothing goes\n here"), (4, ""), (5, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    d = frame.withColumn("tie", F.xxhash64("text")).withColumn("d1", F.xxhash64("doc_id", "tie"))
+    stays = d.filter("doc_id IS NULL OR doc_id IN (2, 3)").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.expr("CASE WHEN doc_id IS NULL THEN array(0) WHEN doc_id = 2 THEN array(2) ELSE array(0, 1) END").alias("_stay"))
+    assert sorted((r["_id"], r["_stay"]) for r in linededup._cut_documents(d, stays).collect()) == [(1, []), (2, [2])]
+    want = {None: line, 1: "", 2: "\nbut another one stays", 3: "nothing goes\n here", 4: "", 5: None}
+    assert {r.doc_id: r.text for r in linededup.deduplicated(frame).collect()} == want

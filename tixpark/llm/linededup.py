@@ -71,15 +71,21 @@ def _with_near(some_lines: DataFrame, parts: int) -> DataFrame:
     return ends.join(shared, "end", "left_semi").select("d1", "lo", "hi")
 
 
-def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``d1`` may be in ``wanted (d1)``, by a bitmap of ``BITMAP`` bits: 4 KB for each
-    32768, so its size is bounded and it is broadcast.  Spares the join that follows most of the rows."""
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``_in``: whether their ``d1`` may be in ``wanted (d1)``, by a bitmap of ``BITMAP`` bits:
+    4 KB for each 32768, so its size is bounded and it is broadcast."""
     maps = wanted.select(F.expr(f"bitmap_bucket_number(pmod(d1, {BITMAP}L))").alias("_part"), F.expr(f"bitmap_bit_position(pmod(d1, {BITMAP}L))").alias("_at"))
     maps = maps.groupBy("_part").agg(F.expr("bitmap_construct_agg(_at)").alias("_map"))
-    r = rows.withColumn("_part", F.expr(f"bitmap_bucket_number(pmod(d1, {BITMAP}L))")).join(F.broadcast(maps), "_part")
+    r = rows.withColumn("_part", F.expr(f"bitmap_bucket_number(pmod(d1, {BITMAP}L))")).join(F.broadcast(maps), "_part", "left")
     at = F.expr(f"bitmap_bit_position(pmod(d1, {BITMAP}L))")
     byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return r.filter(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1).drop("_part", "_map")
+    bit = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1
+    return r.withColumn("_in", F.coalesce(bit, F.lit(False))).drop("_part", "_map")
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``d1`` may be in ``wanted (d1)``.  Spares the join that follows most of the rows."""
+    return _marked(rows, wanted).filter("_in").drop("_in")
 
 
 def _variants(some_lines: DataFrame) -> DataFrame:
@@ -136,6 +142,15 @@ def _near_lines(all_lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return texts.filter(F.levenshtein("line", "other", 1) >= 0).select("first").distinct()
 
 
+def _cut_documents(d: DataFrame, stays: DataFrame) -> DataFrame:
+    """``d1, _id, _tie, _stay``: the documents that lose a line, with the lines with a word that stay; no text is shuffled."""
+    words = F.expr(f"size(filter(split(text, '\n'), x -> x RLIKE '{_WORD}'))".replace("\\", "\\\\"))
+    sizes = d.filter("text IS NOT NULL").select("doc_id", "tie", "d1", words.alias("_words")).distinct()
+    x = sizes.join(stays, sizes["doc_id"].eqNullSafe(F.col("_id")) & (sizes["tie"] == F.col("_tie")), "left")
+    stay = F.coalesce("_stay", F.array().cast("array<int>"))
+    return x.filter(F.col("_words") > F.size(stay)).select("d1", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), stay.alias("_stay"))
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, text`` without the lines that go, ``n_lines`` and ``n_dropped``."""
     every = lines(docs, doc_id, text)
@@ -144,11 +159,16 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # the only place of a line that may stay is its first
     stays = distinct.join(near, "first", "left_anti").select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"), F.col("first.no").alias("no"))
     stays = stays.groupBy("_id", "_tie").agg(F.collect_list("no").alias("_stay"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    d = d.join(stays, d["doc_id"].eqNullSafe(F.col("_id")) & (d["tie"] == F.col("_tie")), "left")
-    d = d.withColumn("cut", F.split("text", "\n"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie")).withColumn("d1", F.xxhash64("doc_id", "tie"))
+    cuts = materialize(_cut_documents(d, stays), "documents-cut")
+    d = _marked(d, cuts.select("d1")).withColumn("cut", F.split("text", "\n"))
+    size = F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_lines")
+    whole = d.filter("NOT _in").select("doc_id", "text", size, F.lit(0).cast("long").alias("n_dropped"))
+    # merged at every size: the list of documents that lose lines grows with the input
+    d = d.filter("_in").drop("d1").join(cuts.drop("d1").hint("merge"), d["doc_id"].eqNullSafe(F.col("_id")) & (d["tie"] == F.col("_tie")), "left")
     blank = F.expr(f"filter(transform(cut, (x, i) -> CASE WHEN NOT x RLIKE '{_WORD}' THEN i END), i -> i IS NOT NULL)".replace("\\", "\\\\"))
-    d = d.withColumn("kept", F.array_sort(F.array_union(F.coalesce("_stay", F.array().cast("array<int>")), blank)))
-    return d.select("doc_id", F.expr("CASE WHEN text IS NOT NULL THEN array_join(transform(kept, i -> cut[i]), '\n') END").alias("text"),
-                    F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_lines"),
+    kept = F.array_sort(F.array_union("_stay", blank))
+    d = d.withColumn("kept", F.when(F.col("_tie").isNotNull(), kept).otherwise(F.expr("transform(cut, (x, i) -> i)")))     # the bitmap may name too many
+    some = d.select("doc_id", F.expr("CASE WHEN text IS NOT NULL THEN array_join(transform(kept, i -> cut[i]), '\n') END").alias("text"), size,
                     F.coalesce(F.size("cut") - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"))
+    return whole.unionByName(some)
