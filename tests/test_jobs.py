@@ -6,8 +6,10 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from tixpark.functions import fixed
 from tixpark.operators import dimensions as dim
 from tixpark.operators import jobs
+from tixpark.operators import workload as wl
 from tixpark.session import scratch_path
 from tixpark.sources import committed
 from tixpark.sources.committed import CommittedStore
@@ -137,3 +139,34 @@ def test_running_counters_survive_a_restart(spark):
         stream.stream_workload(spark, inbox, schema, out, checkpoint)
     got = {r.assigned_to: r.n for r in stream.current_counts(spark.read.parquet(out)).collect()}
     assert got == {"u0": 5 + 3 + 2, "u1": 2 + 2, "u2": 1}
+
+
+def test_history_is_counted_once(spark):
+    """The loads are read twice, the history is not."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(x):
+        seen.add(1)
+        return x
+
+    users = dim.prepare_users(spark.createDataFrame([("u1", "Ana Paz", "1", 1)], "usuario string, nombre string, estado string, ord int"))
+    history = spark.createDataFrame([("u1", "Nuevo"), ("PAZ ana", "Nuevo"), ("u1", "Cerrado")], "assigned_to string, state string")
+    history = history.withColumn("assigned_to", name.asNondeterministic()("assigned_to"))
+    assert [(r.assignee, r.open, r.resolved) for r in wl.workload(history, users, "2024-01-01", None).collect()] == [("U1", 2, 1)]
+    assert seen.value == 3
+
+
+def test_requirement_texts_are_chosen_once(spark, monkeypatch):
+    """The reviewed classes are a written table: the job that reads them twice runs no text step again."""
+    from tixpark.plans import q_jobs
+
+    got = {}
+    rows = [("A", "una descripcion bastante larga de prueba", "corto"), ("B", "", None)]
+    monkeypatch.setattr(q_jobs.b, "tickets", lambda spark, sf: spark.createDataFrame(rows, "number string, description string, short_description string"))
+    monkeypatch.setattr(q_jobs, "_export", lambda spark, sf: spark.createDataFrame([("A", "x"), ("B", "x")], "number string, `Clasificación` string"))
+    monkeypatch.setattr(q_jobs, "_desk", lambda spark, sf: None)
+    monkeypatch.setattr(q_jobs.jobs, "assign_requirements", lambda export, desk, store, run, review, **more: got.update(x=review(export)))
+    q_jobs._assign_requirements(spark, "", None)
+    assert "EvalPython" not in got["x"]._jdf.queryExecution().executedPlan().toString()
+    assert {r["number"]: r["Clasificación"] for r in got["x"].collect()} == {"A": "x", "B": fixed.REVIEW_CLASS}

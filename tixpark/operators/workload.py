@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.dates import parse_resolved_dayfirst
+from ..session import written
 from .dimensions import (active_filter, canonical_assignee, display_name, pystrip)
 
 
@@ -50,7 +51,7 @@ def workload(history: DataFrame, users_prepared: DataFrame, as_of: str,
              window_days: int | None = fixed.RESOLVED_DAYS_WINDOW,
              weight: float = fixed.RESOLVED_WEIGHT) -> DataFrame:
     """A13 + A14 + A15: (assignee, open, resolved, effective) by canonical name."""
-    raw = raw_load_counts(history, as_of, window_days)
+    raw = written(raw_load_counts(history, as_of, window_days), "load-counts")      # read twice: the history is counted once
     can = canonical_assignee(raw, "assigned_to", users_prepared, out="assignee")
     agg = can.groupBy("assignee").agg(F.sum("open_n").cast("bigint").alias("open"),
                                      F.sum("resolved_n").cast("bigint").alias("resolved"))

@@ -90,7 +90,8 @@ def _assign_requirements(spark, sf, store, training_columns=("number", "clasific
         final = written(b.tickets(spark, sf).select("number", *core), "cores")
         final = final.select("number", tx.choose_text(F.col("_description"), F.col("_short_description")).alias("_ft"))
         x = df.join(final, "number")
-        return x.withColumn("Clasificación", pj.empty_text_to_review(F.col("_ft"), F.col("Clasificación"))).drop("_ft")
+        # the job reads the classes twice: texts are chosen once
+        return written(x.withColumn("Clasificación", pj.empty_text_to_review(F.col("_ft"), F.col("Clasificación"))).drop("_ft"), "reviewed")
 
     export = _export(spark, sf).withColumnRenamed("sys_created_on", "opened_at")
     jobs.assign_requirements(export, _desk(spark, sf), store, RUN, review, training_columns=training_columns)
