@@ -128,3 +128,15 @@ def test_f_tail():
     # for two degrees of freedom between, the tail is (1 + 2 f / d2) ** (-d2 / 2)
     assert f_tail(3.0, 2, 17) == pytest.approx((1 + 6 / 17) ** -8.5, abs=1e-13)
     assert f_tail(None, 2, 3) is None and f_tail(0.0, 2, 3) == 1.0
+
+
+def test_gram_products_of_dense_and_sparse_slices(monkeypatch):
+    """Blocks made dense and blocks left sparse, of any number of rows, add up to the plain product."""
+    rng = np.random.default_rng(3)
+    for density, cells in ((0.3, 1 << 21), (0.3, 100), (0.004, 1 << 21), (0.004, 700), (0.0, 100)):
+        x = rng.random((50, 40)) * (rng.random((50, 40)) < density)
+        q, acc, seen = rng.standard_normal((40, 6)), np.zeros((40, 6)), np.zeros(40, dtype=bool)
+        row, term = np.nonzero(x)
+        monkeypatch.setattr(svd, "DENSE", cells)
+        svd._add_gram_times(row, term.astype(np.int32), x[row, term], 50, q, acc, seen)
+        assert np.allclose(acc, x.T @ (x @ q)) and (seen == x.any(axis=0)).all()

@@ -5,7 +5,9 @@ multiplies XᵀX with a block: every task works through its sparse rows and
 returns sums by term, Spark adds them, and the driver holds terms x block
 numbers (5,000 terms and 100 columns: 4 MB).  Each round extends the block by
 two Krylov blocks and keeps the best Ritz vectors, until the residuals of all
-wanted pairs are below the tolerance.  No row is made dense.
+wanted pairs are below the tolerance.  Rows are made dense in blocks of bounded
+size over the terms that they hold, where few enough cells are empty: products
+of matrices take far less time than sums by row and by term.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 
 #: Non-zeros that a task multiplies at a time.
 SLICE = 1 << 16
+#: Cells (rows x terms) that a task makes dense at a time: 16 MB.
+DENSE = 1 << 21
+#: Rows of less than one cell in so many stay sparse.
+SPARSE = 64
 
 
 @dataclass
@@ -56,6 +62,28 @@ def _times(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, q: np.n
     return out
 
 
+def _add_gram_times(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, q: np.ndarray, acc: np.ndarray, seen: np.ndarray) -> None:
+    """Add XᵀX q of the slice's rows to ``acc`` and mark their terms in ``seen``."""
+    step = max(1, DENSE // len(q))
+    for lo in range(0, n, step):
+        count = min(step, n - lo)
+        first, last = np.searchsorted(row, (lo, lo + count))
+        r, t, v = row[first:last] - lo, term[first:last], value[first:last]
+        here = np.zeros(len(q), dtype=bool)
+        here[t] = True
+        at = np.flatnonzero(here)
+        if len(t) * SPARSE < count * len(at):
+            y = _times(r, t, v, count, q)
+            order = np.argsort(t, kind="stable")
+            starts = np.flatnonzero(np.diff(t[order], prepend=-1))
+            acc[at] += np.add.reduceat((v[:, None] * y[r])[order], starts, axis=0)
+        elif len(at):
+            x = np.zeros((count, len(at)))
+            x[r, (np.cumsum(here) - 1)[t]] = v
+            acc[at] += x.T @ (x @ q[at])
+        seen |= here
+
+
 def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """XᵀX q by one pass."""
     terms, m = q.shape
@@ -65,14 +93,7 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         acc, seen = np.zeros((terms, m)), np.zeros(terms, dtype=bool)
         for batch in batches:
             for row, term, value, _, n in _rows(batch.column(0)):
-                if not len(term):
-                    continue
-                y = _times(row, term, value, n, q)
-                order = np.argsort(term, kind="stable")
-                starts = np.flatnonzero(np.diff(term[order], prepend=-1))
-                at = term[order][starts]
-                acc[at] += np.add.reduceat((value[:, None] * y[row])[order], starts, axis=0)
-                seen[at] = True
+                _add_gram_times(row, term, value, n, q, acc, seen)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(acc[at, j]) for j in range(m))], names=["term", *names])
 
