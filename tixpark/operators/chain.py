@@ -152,11 +152,10 @@ UNION = (Block("words", min_df=3, max_features=150_000, sublinear=True, accents=
          Block("chars", "char", (3, 5), min_df=3, max_features=100_000))
 
 
-def _block_stages(texts: DataFrame, block: Block, n_docs: int) -> list:
-    """Fit one block on ``texts`` (number, texto); its stages from text to unit vectors."""
+def _block_stages(block: Block, vocabulary: DataFrame) -> list:
+    """The stages of a block from text to unit vectors, over a fitted vocabulary (at most ``max_features`` terms, they are the model)."""
     grams = Grams(inputCol="texto", outputCol=f"{block.name}_grams", kind=block.kind, ngram=list(block.ngram), stripAccents=block.accents)
-    counted = fe.term_counts(fe.terms_frame(texts, "number", "texto", block.kind, block.accents), block.ngram)
-    rows = fe.fit_vocabulary(counted, n_docs, block.min_df, block.max_features).orderBy("idx").select("term", "idf").collect()
+    rows = vocabulary.orderBy("idx").select("term", "idf").collect()
     terms, idf = [r["term"] for r in rows] or ["_"], [r["idf"] for r in rows] or [0.0]
     counts, logs, weights = (f"{block.name}_{c}" for c in ("tf", "log", "w"))
     vector = CountVectorizerModel.from_vocabulary(terms, inputCol=f"{block.name}_grams", outputCol=counts)
@@ -167,12 +166,25 @@ def _block_stages(texts: DataFrame, block: Block, n_docs: int) -> list:
 
 def feature_stages(texts: DataFrame, blocks=TERMS) -> list:
     """Fitted stages from ``texto`` to ``features``; the vocabulary is that of ``texts`` (number, texto; a written table)."""
-    n_docs, stages = texts.count(), []
+    n_docs, vocabularies = texts.count(), []
     for block in blocks:
-        stages += _block_stages(texts, block, n_docs)
+        counted = fe.term_counts(fe.terms_frame(texts, "number", "texto", block.kind, block.accents), block.ngram)
+        vocabularies.append(fe.fit_vocabulary(counted, n_docs, block.min_df, block.max_features))
+    return vector_stages(vocabularies, blocks)
+
+
+def vector_stages(vocabularies: list[DataFrame], blocks=TERMS) -> list:
+    """Stages from ``texto`` to ``features`` over one fitted vocabulary per block."""
+    stages = [stage for block, vocabulary in zip(blocks, vocabularies) for stage in _block_stages(block, vocabulary)]
     return [*stages, VectorAssembler(inputCols=[b.name for b in blocks], outputCol="features")]
 
 
+def whole_chain(text: TicketText, stages: list, model, labels: list[str], blocks=TERMS, out: str = "Clasificación") -> PipelineModel:
+    """Raw columns to class name: text steps, fitted ``stages`` to features, classifier, label names."""
+    names = IndexToString(inputCol="prediction", outputCol=out, labels=labels)
+    return PipelineModel([text, *stages, model, names, KeepColumns(working=[*_working(blocks), "features", "prediction"])])
+
+
 def _working(blocks) -> list[str]:
     return [f"{b.name}{c}" for b in blocks for c in ("", "_grams", "_tf", "_log", "_w")]
 
@@ -211,8 +223,7 @@ def fit_chain(train: DataFrame, label: str, text: TicketText, blocks=TERMS, clas
         model = md.svm_ovr_balanced(weighted.count(), C, max_iter).fit(md.packed(weighted))
     else:
         model = grid_search_c(rows, max_iter=max_iter)[0].bestModel
-    names = IndexToString(inputCol="prediction", outputCol=out, labels=labels)
-    return PipelineModel([text, *stages, model, names, KeepColumns(working=[*_working(blocks), "features", "prediction"])])
+    return whole_chain(text, stages, model, labels, blocks, out)
 
 
 def scorer(chain: PipelineModel, out: str = "Clasificación", review_empty: bool = False):

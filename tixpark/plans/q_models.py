@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators import chain as ch
 from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import labels as lb
@@ -28,6 +29,11 @@ def _prepared(spark, sf):
     """(vectors of every ticket, labelled rows with their part): repaired, one row per text, split.
 
     Both are checkpointed: every model reads the same frame."""
+    return _prepared_over(spark, sf)[:2]
+
+
+def _prepared_over(spark, sf):
+    """As :func:`_prepared`, and the vocabulary that the vectors are over."""
     symbols, vocab, c = _vocabulary_5000(spark, sf)
     x = fe.vectors(symbols, vocab)
     vectors = written(c.select("number", "clase").join(x.select(F.col("doc").alias("number"), "features"), "number"), "vectors")
@@ -35,7 +41,7 @@ def _prepared(spark, sf):
     lab = lb.dedup_keep_first(lab.select("number", "ord", "clase", "ctext"), "ctext", "ord")
     parts = ev.stratified_split(lab, "clase", "number", 0.2, 42, "part").select("number", "clase", "part")
     rows = written(ev.label_encode(parts.join(vectors.select("number", "features"), "number"), "clase"), "labelled")
-    return vectors, rows
+    return vectors, rows, vocab
 
 
 def _fitted(rows, which: str):
@@ -155,14 +161,16 @@ def q_l2_normalize(spark, sf):
 
 @register("model_store", _HELD_SQL.replace("true AS valid, true AS flag_follows", "true AS same"))
 def q_model_store(spark, sf):
-    """A saved and reloaded chain scores as the one in memory."""
-    _, rows = _prepared(spark, sf)
-    model, _ = _fitted(rows, "lr")
+    """The whole chain (text steps, features, model, label names), saved and reloaded, scores raw tickets as the one in memory."""
+    _, rows, vocab = _prepared_over(spark, sf)
+    model, labels = _fitted(rows, "lr")
+    chain = ch.whole_chain(ch.TicketText(fixed.INCIDENT_FIELDS_FILL, "filled"), ch.vector_stages([vocab]), model, labels)
     path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
-    md.save_model([model], path)
-    test = rows.filter("part = 'test'")
-    a = model.transform(test).select("number", F.col("clase").alias("y"), F.col("prediction").alias("p"))
-    again = md.load_model(path).transform(test).select("number", F.col("prediction").alias("q"))
+    md.save_model(chain.stages, path)
+    raw = b.tickets(spark, sf).select("number", *fixed.INCIDENT_FIELDS_FILL).dropDuplicates(["number"])
+    test = written(rows.filter("part = 'test'").select("number", F.col("clase").alias("y")).join(raw, "number"), "held-out")
+    a = chain.transform(test).select("number", "y", F.col("Clasificación").alias("p"))
+    again = md.load_model(path).transform(test).select("number", F.col("Clasificación").alias("q"))
     return a.join(again, "number").select("number", "y", (F.col("p") == F.col("q")).alias("same"))
 
 
